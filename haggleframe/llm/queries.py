@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haggleframe.llm import encoding, packing
+from haggleframe.llm import encoding, exact_dedup, packing, sharding
 
 MULTI, ENGLISH = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -16,6 +16,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.classify(documents(spark, sf_dir), exact_dedup.fresh_index(spark))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.digests(documents(spark, sf_dir), public_tokenizers.path(MULTI))
 
@@ -24,9 +28,20 @@ def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(ENGLISH), 2048)
 
 
+def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(documents(spark, sf_dir), 24)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_digest_index": op3_digest_index,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_best_two_fit": op9_best_two_fit,
+    "op10_bounded_ring": op10_bounded_ring,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_digest_index": r"""
+        WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),
+             g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY h)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, t.h AS text_sha256 FROM t JOIN g USING (h)""",
+}
