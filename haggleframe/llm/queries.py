@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from haggleframe.llm import encoding, exact_dedup, packing, sharding
+from haggleframe.llm import encoding, exact_dedup, language_id, packing, quality, sharding
+from haggleframe.llm.common import fold
 
 MULTI, ENGLISH = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -16,10 +18,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_bloom_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = language_id.train(docs.filter(~held_out))
+    out = language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(documents(spark, sf_dir), exact_dedup.fresh_index(spark))
 
 
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Score and predict quality with a network that hasn't seen the held-out fifth of the labels."""
+    net = quality.train(docs, labels.filter(fold(F.col("doc_id"), 5) != 0))
+    return quality.score(docs, net).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.digests(documents(spark, sf_dir), public_tokenizers.path(MULTI))
 
@@ -33,7 +55,9 @@ def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bloom_language": op1_bloom_language,
     "op3_digest_index": op3_digest_index,
+    "op4_byte_cnn": op4_byte_cnn,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_bounded_ring": op10_bounded_ring,
