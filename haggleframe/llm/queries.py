@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haggleframe.llm import encoding, exact_dedup, language_id, packing, quality, sharding
+from haggleframe.llm import encoding, exact_dedup, language_id, packing, quality, sharding, simhash
 from haggleframe.llm.common import fold
 
 MULTI, ENGLISH = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
@@ -42,6 +42,10 @@ def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.cluster(documents(spark, sf_dir), reach=4, segments=2, shingle=4).select("doc_id", "fingerprint", "component_id")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.digests(documents(spark, sf_dir), public_tokenizers.path(MULTI))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bloom_language": op1_bloom_language,
     "op3_digest_index": op3_digest_index,
     "op4_byte_cnn": op4_byte_cnn,
+    "op5_multi_index_simhash": op5_multi_index_simhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_bounded_ring": op10_bounded_ring,
