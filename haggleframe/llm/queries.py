@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haggleframe.llm import encoding, exact_dedup, language_id, packing, quality, sharding, simhash
+from haggleframe.llm import encoding, exact_dedup, imatch, language_id, packing, quality, sharding, simhash
 from haggleframe.llm.common import fold
 
 MULTI, ENGLISH = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
@@ -50,6 +50,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.digests(documents(spark, sf_dir), public_tokenizers.path(MULTI))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_edits(documents(spark, sf_dir))
+
+
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(ENGLISH), 2048)
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_cnn": op4_byte_cnn,
     "op5_multi_index_simhash": op5_multi_index_simhash,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_imatch": op8_imatch,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_bounded_ring": op10_bounded_ring,
 }
