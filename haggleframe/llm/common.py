@@ -66,3 +66,14 @@ def ranked(df: DataFrame, keys: list[str], salt: Column, order: list, salts: int
     shifts = sizes.select(*keys, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     within = salted.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)) - 1)
     return within.join(shifts, [*keys, "_salt"]).withColumn("_rank", F.col("_at") + F.col("_shift")).drop("_salt", "_at", "_shift")
+
+
+def in_blocks(docs: DataFrame, target: int) -> tuple[DataFrame, int]:
+    """Add `_block`, so that a block has about `target` bytes of text, and tell how many blocks there are.
+
+    The block follows from doc_id and text, so each reading deals rows alike and a key that many
+    rows share, a doc_id or a text, is spread. Null texts have no bytes. At least one block.
+    """
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-total // target))
+    return docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")), blocks

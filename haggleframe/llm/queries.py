@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haggleframe.llm import encoding, exact_dedup, imatch, language_id, packing, quality, sharding, simhash
+from haggleframe.llm import encoding, exact_dedup, imatch, language_id, packing, quality, sharding, simhash, substring_dedup
 from haggleframe.llm.common import fold
 
 MULTI, ENGLISH = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
@@ -26,6 +26,11 @@ def op1_bloom_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs, window=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(documents(spark, sf_dir), exact_dedup.fresh_index(spark))
 
@@ -64,6 +69,7 @@ def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bloom_language": op1_bloom_language,
+    "op2_window_dedup": op2_window_dedup,
     "op3_digest_index": op3_digest_index,
     "op4_byte_cnn": op4_byte_cnn,
     "op5_multi_index_simhash": op5_multi_index_simhash,
