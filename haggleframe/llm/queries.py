@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haggleframe.llm import encoding, exact_dedup, imatch, language_id, packing, quality, sharding, simhash, substring_dedup
+from haggleframe.llm import encoding, exact_dedup, imatch, language_id, language_model, packing, quality, sharding, simhash, substring_dedup
 from haggleframe.llm.common import fold
 
 MULTI, ENGLISH = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
@@ -51,6 +51,12 @@ def op5_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(documents(spark, sf_dir), reach=4, segments=2, shingle=4).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 5) == 1
+    out = language_model.score(documents(spark, sf_dir).select("doc_id", "text"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.digests(documents(spark, sf_dir), public_tokenizers.path(MULTI))
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_digest_index": op3_digest_index,
     "op4_byte_cnn": op4_byte_cnn,
     "op5_multi_index_simhash": op5_multi_index_simhash,
+    "op6_backoff_automaton": op6_backoff_automaton,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_imatch": op8_imatch,
     "op9_best_two_fit": op9_best_two_fit,
