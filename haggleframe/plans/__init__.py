@@ -1 +1,3 @@
+"""Queries over the market tables; importing the modules registers them."""
 
+from haggleframe.plans import events, market, relational  # noqa: F401
