@@ -11,7 +11,7 @@ from haggleframe.operators import merge, queue
 from haggleframe.plans.registry import query
 from haggleframe.sources.market import jobs, listings, sightings, with_roles
 
-_NOW = 750_000_000_000  # inside the range of the jobs' times
+_NOW = 893_462_400_000  # inside the range of the jobs' times
 
 _SNAPSHOT_SQL = """snap AS (SELECT *, created_ms + (job_id % 7) * 86400000 AS due_ms, created_ms AS started_ms, CASE job_id % 5 WHEN 0 THEN 'HUNT_PRIORITY' WHEN 1 THEN 'MANUAL_PRIORITY' WHEN 2 THEN 'LIVE_DEAL' ELSE 'AUTO' END AS source,
     CAST(job_id % 8 + 1 AS INTEGER) AS attempt, CASE job_id % 4 WHEN 0 THEN 'HTTP 503' WHEN 1 THEN 'title not found' WHEN 2 THEN 'Timeout' ELSE 'unexpected' END AS reason FROM jobs)"""
