@@ -1,3 +1,3 @@
 """Queries over the market tables; importing the modules registers them."""
 
-from haggleframe.plans import events, linking, market, relational, scout, texts, workflow  # noqa: F401
+from haggleframe.plans import events, linking, market, relational, scout, streams, texts, workflow  # noqa: F401
