@@ -111,3 +111,51 @@ def test_merges(spark):
     assert {tuple(r) for r in merge.replace(t, n, ["k"]).collect()} == {(1, 10), (2, 5), (3, 7)}
     p = spark.createDataFrame([(1, '{"v": 99}'), (2, "{}")], "k long, payload string")
     assert {tuple(r) for r in merge.patch(t, p, "k", {"v": "long"}).collect()} == {(1, 99), (2, 20)}
+
+
+def test_manual_ranking():
+    from haggleframe.functions.ranking import alignment, title_rank
+
+    assert alignment("ca", "abc") == 3 and alignment("caslte", "castle") == 1
+    assert title_rank("carcassone", "carcassonne") >= 900 and title_rank("wingspann", "wingspan") >= 900
+    assert title_rank("white caslte", "the white castle") >= 800 and title_rank("gioco azul italiano", "azul") >= 1500
+    assert title_rank("7 wonder duel", "7 wonders duel") > title_rank("7 wonder duel", "7 wonders")
+    assert title_rank("scarpe adidas", "azul") == 0
+
+
+def test_label_times(spark):
+    from haggleframe.functions import dates
+
+    seen = 1_700_000_000_000
+    cases = [("2 ore fa", seen - 7_200_000), ("un giorno fa", seen - 86_400_000), ("ieri", seen - 86_400_000), ("5 min", seen - 300_000), ("Pubblicato il 01/02/2023", 1_675_209_600_000), ("2023-02-01T00:00:00", 1_675_209_600_000), ("boh", None)]
+    df = spark.createDataFrame([(a, seen, b) for a, b in cases], "label string, seen long, want long")
+    assert all(r.got == r.want for r in df.select("want", dates.label_time_ms(F.col("label"), F.col("seen")).alias("got")).collect())
+    assert one(spark, dates.page_time_ms(F.lit('{"created_at_ts": 1700000000}'))) == seen
+
+
+def test_phrases_and_editions(spark):
+    from haggleframe.plans.catalog import edition_language, hint_language
+
+    assert one(spark, hint_language(F.lit("bello gioco da tavolo"))) == "it"
+    assert one(spark, hint_language(F.lit("gioco da tavolo board game"))) is None
+    assert one(spark, edition_language(F.lit("Edizione italiana, non inglese"))) == "IT"
+    assert one(spark, edition_language(F.lit("italiano. english"))) is None
+
+
+def test_range_and_as_of_joins(spark):
+    from haggleframe.operators import intervals
+
+    e = spark.createDataFrame([("k", 5), ("k", 10), ("k", 99)], "k string, at long")
+    r = spark.createDataFrame([(1, 5, 10), (2, 11, 98)], "r long, s long, e long")
+    assert sorted((x.at, x.r) for x in intervals.within(e, r, "at", "s", "e", 4).collect()) == [(5, 1), (10, 1)]
+    v = spark.createDataFrame([("k", 5, 1), ("k", 8, 2)], "k string, at long, v long")
+    assert sorted((x.at, x.v, x.as_of) for x in intervals.as_of(e, v, "k", "at", "v", 10).collect()) == [(5, 1, 5), (10, 2, 8), (99, None, None)]
+
+
+def test_one_to_one_rounds(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    pairs = spark.createDataFrame([("a", "x", 200), ("b", "x", 150), ("b", "y", 140)], "l string, r string, score long")
+    first = linking.link_once(pairs, "l", "r", "score", 130, 10)
+    assert first.collect() == []  # both claim x
+    loose = spark.createDataFrame([("a", "x", 200), ("b", "y", 150), ("b", "z", 145), ("c", "y", 180)], "l string, r string, score long")
+    assert {tuple(r)[:2] for r in linking.link_rounds(loose, "l", "r", "score", 130, 10).collect()} == {("a", "x"), ("c", "y"), ("b", "z")}
