@@ -182,7 +182,7 @@ def slug_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hint_language(x: Column) -> Column:
     """Language of a stock phrase, if phrases of one language only occur."""
-    phrases = {"it": r"\b(giochi? da tavol[oi]|gioco di societa|in ottime condizioni)\b", "fr": r"\b(jeux? de societe|jeu de plateau|en tres bon etat)\b", "de": r"\b(brettspiel|gesellschaftsspiel|sehr guter zustand)\b", "nl": r"\b(bordspel|gezelschapsspel|zo goed als nieuw)\b", "en": r"\b(board game|brand new sealed|excellent condition)\b", "es": r"\b(juego de mesa|en buen estado)\b"}
+    phrases = {"it": r"\b(gioc(?:o|hi) da tavol[oi]|gioco di societa|in ottime condizioni)\b", "fr": r"\b(jeux? de societe|jeu de plateau|en tres bon etat)\b", "de": r"\b(brettspiel|gesellschaftsspiel|sehr guter zustand)\b", "nl": r"\b(bordspel|gezelschapsspel|zo goed als nieuw)\b", "en": r"\b(board game|brand new sealed|excellent condition)\b", "es": r"\b(juego de mesa|en buen estado)\b"}
     hits = F.array_compact(F.array(*[F.when(x.rlike(p), k) for k, p in phrases.items()]))
     return F.when(F.size(hits) == 1, hits[0])
 
