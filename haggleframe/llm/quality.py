@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 @dataclass(frozen=True)
 class Shape:
-    """width: bytes that a filter sees; sample: labelled rows per label that are fitted, a fixed bound; chunks: of each of them that are fitted, evenly spaced, the scoring sees all."""
+    """width: bytes that a filter sees; sample: labelled rows per label that are fitted, a fixed bound; chunks: of each of them that are fitted, evenly spaced, the scoring sees all; steps: updates at least, a small sample is seen more often."""
 
     width: int = 8
     stride: int = 2
@@ -31,6 +31,7 @@ class Shape:
     sample: int = 1500
     chunks: int = 8
     epochs: int = 12
+    steps: int = 900
     seed: int = 7
 
 
@@ -107,8 +108,9 @@ def fit(texts: list[bytes], labels: np.ndarray, shape: Shape) -> Network:
         return net
     moments = {n: [np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))] for n in net.NAMES}
     step, size = 0, 32
-    for epoch in range(shape.epochs):
-        rate = 0.01 * (1 - epoch / shape.epochs) + 0.0005
+    epochs = max(shape.epochs, -(-shape.steps * size // len(data)))
+    for epoch in range(epochs):
+        rate = 0.01 * (1 - epoch / epochs) + 0.0005
         order = r.permutation(len(data))
         for at in range(0, len(order), size):
             batch = order[at : at + size]
