@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from haggleframe.sources.shared import shared_dir
+
 #: ASCII white space that separates words in the contracts of these operators.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        at = tempfile.mkdtemp(prefix="haggleframe-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: its lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
@@ -40,10 +33,7 @@ def fold(doc_id: Column, n: int) -> Column:
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slice Arrow batches so that each holds about `limit` bytes of text, one row at least."""
     for batch in batches:
-        sizes = batch.column(column).cast(pa.string()) if not pa.types.is_string(batch.column(column).type) else batch.column(column)
-        import pyarrow.compute as pc
-
-        lengths = pc.fill_null(pc.binary_length(sizes), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(lengths):
             if i > start and held + n > limit:
