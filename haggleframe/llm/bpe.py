@@ -201,10 +201,13 @@ class Vocabulary:
 
         while (r := queue.first()) >= 0:
             queue.discard(r)
-            at = np.unique(np.array(buckets.pop(r), np.int32))
+            at = np.array(buckets.pop(r), np.int32)
             at = at[rank[at] == r]  # the others are stale
             if not len(at):
                 continue
+            if len(at) > 1:
+                at.sort()
+                at = at[np.append(True, at[1:] != at[:-1])]
             if self.careful[r] and len(at) > 1:
                 leftmost = np.append(True, word[at[1:]] != word[at[:-1]])
                 if not leftmost.all():

@@ -15,7 +15,7 @@ from haggleframe.llm import bpe
 from haggleframe.llm.common import text_batches
 
 #: Text that is encoded together, and text that one numpy step sees.
-UNIT, STEP = 24 << 20, 1 << 20
+UNIT, STEP = 16 << 20, 1 << 20
 
 
 @functools.lru_cache(maxsize=2)
