@@ -11,7 +11,7 @@ per block. All later copies merge into maximal intervals, which are removed.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +34,20 @@ def ordered(block: pa.Table) -> pa.Table:
     return block.take(order)
 
 
-def block_words(block: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """UTF-8 texts, hashes of all their words in order, and the number of words of each text; null has none."""
-    texts = [(t or "").encode() for t in block["text"].to_pylist()]
-    parts, counts = [], np.zeros(len(texts), np.int64)
+def each_words(block: pa.Table) -> Iterator[list[bytes]]:
+    """The words of every text, one text at a time; null has none."""
+    for t in block["text"]:
+        yield (t.as_py() or "").encode().split()  # of bytes: ASCII white space only
+
+
+def block_words(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the number of words of each text."""
+    parts, counts = [], np.zeros(block.num_rows, np.int64)
     h = xxhash.xxh64_intdigest
-    for i, t in enumerate(texts):
-        words = t.split()  # of bytes: ASCII white space only
+    for i, words in enumerate(each_words(block)):
         counts[i] = len(words)
         parts.append(np.fromiter(map(h, words), np.uint64, len(words)))
-    return texts, np.concatenate(parts) if parts else np.zeros(0, np.uint64), counts
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), counts
 
 
 def rolling(words: np.ndarray, size: int) -> np.ndarray:
@@ -72,8 +76,13 @@ def anchors(words: np.ndarray, starts: np.ndarray, window: int, anchor: int) ->
     runs = rolling(words, anchor) * MIX
     if not len(starts):
         return runs, starts
-    least = np.lib.stride_tricks.sliding_window_view(runs, window - anchor + 1)[: starts[-1] + 1].argmin(1)
-    return runs, starts + least[starts]
+    n = starts[-1] + 1
+    least, place = runs[:n].copy(), np.zeros(n, np.int32)
+    for j in range(1, window - anchor + 1):
+        other = runs[j : j + n]
+        place[other < least] = j
+        np.minimum(least, other, out=least)
+    return runs, starts + place[starts]
 
 
 def intervals(places: np.ndarray, size: int, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +97,7 @@ def intervals(places: np.ndarray, size: int, total: int) -> tuple[np.ndarray, np
 
 def _anchor_counts(window: int, anchor: int) -> Callable[[pa.Table], pa.Table]:
     def run(block: pa.Table) -> pa.Table:
-        _, words, counts = block_words(block)
+        words, counts = block_words(block)
         runs, at = anchors(words, whole_windows(counts, window), window, anchor)
         key, n = np.unique(runs[np.unique(at)], return_counts=True)
         return pa.table({"_block": pa.array(np.full(len(key), block["_block"][0].as_py(), np.int32)), "anchor": pa.array(key.view(np.int64)), "n": pa.array(n)})
@@ -106,7 +115,7 @@ def _block_windows(window: int, anchor: int) -> Callable[[pa.Table, pa.Table], p
         if not block.num_rows or not repeated.num_rows:
             return pa.table({c: pa.array([], t) for c, t in (("hash", pa.int64()), ("first_doc", pa.int64()), ("_block", pa.int32()), ("at", pa.int32()), ("n", pa.int32()))})
         own = ordered(block)
-        _, words, counts = block_words(own)
+        words, counts = block_words(own)
         starts = whole_windows(counts, window)
         runs, at = anchors(words, starts, window, anchor)
         starts = starts[np.isin(runs[at], repeated["anchor"].to_numpy().view(np.uint64))]
@@ -135,16 +144,14 @@ def _block_windows(window: int, anchor: int) -> Callable[[pa.Table, pa.Table], p
 def _cut(window: int, columns: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(block: pa.Table, marks: pa.Table) -> pa.Table:
         own = ordered(block)
-        encoded = [(t or "").encode() for t in own["text"].to_pylist()]
-        split = [t.split() for t in encoded]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
+        counts = np.fromiter((len(w) for w in each_words(own)), np.int64, own.num_rows)
         change = np.zeros(int(counts.sum()) + 1, np.int64)
         at, n = marks["at"].to_numpy().astype(np.int64), marks["n"].to_numpy().astype(np.int64)
         np.add.at(change, at, 1)
         np.add.at(change, at + np.where(n > 0, n, window), -1)
         kept = np.cumsum(change)[:-1] == 0
         texts, removed, sha, begin = own["text"].to_pylist(), [], [], 0
-        for i, words in enumerate(split):
+        for i, words in enumerate(each_words(own)):
             keep = kept[begin : begin + len(words)]
             begin += len(words)
             left = words if keep.all() else [w for w, k in zip(words, keep.tolist()) if k]
@@ -159,7 +166,7 @@ def _cut(window: int, columns: list[str]) -> Callable[[pa.Table, pa.Table], pa.T
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 8, block_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 8, block_bytes: int = 8 << 20) -> DataFrame:
     """All rows and columns, with repeated passages cut out of `text`, and n_words, n_removed, kept_sha256.
 
     A word is removed if a window of `window` words that covers it also starts earlier: in a
