@@ -2,7 +2,7 @@
 
 Bytes are embedded, one layer of learned filters slides over overlapping chunks of the whole text,
 every filter keeps its largest response over all chunks, and a logistic layer combines these and
-the text's length into one probability. Chunks overlap by what a filter sees less one stride, so
+the filters' mean responses into one probability. Chunks overlap by what a filter sees less one stride, so
 the maximum over chunks is the maximum over the text.
 """
 
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from haggleframe.llm.common import text_batches
+
 
 @dataclass(frozen=True)
 class Shape:
@@ -179,7 +181,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network.load(data, shape)
-        for b in batches:
+        for b in text_batches(batches, limit=4 << 20):
             out = [own.probability(np.frombuffer((t or "").encode(), np.uint8)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "score"])
 
