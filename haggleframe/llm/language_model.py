@@ -161,15 +161,15 @@ def _score(columns: list[str], discount: float) -> Callable[[pa.Table, pa.Table]
     return run
 
 
-def score(docs: DataFrame, train: Column, min_share: float = 1e-5, discount: float = 0.75, block_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, train: Column, min_share: float = 0.0, discount: float = 0.75, block_bytes: int = 24 << 20) -> DataFrame:
     """All rows and columns with n_tokens, n_known, train_tokens, base_score and score; rows where `train` is true are learned from.
 
     Tokens are lower-cased words (A-Z, ASCII white space) and an end; a null or empty text is the
     end alone. base_score is the smoothed unigram log10 probability, score the model's. A bigram is
-    retained if it occurs twice and both of its words make up `min_share` of the training tokens,
-    and occur twice. Repeated rows count as often as they occur. Without training rows all tokens
-    are unknown and have probability one. An empty table gives no rows. Columns named like the new
-    ones are replaced.
+    retained if it occurs twice, however large the corpus; with a `min_share`, only if each of its
+    words also makes up that share of the training tokens. Repeated rows count as often as they
+    occur. Without training rows all tokens are unknown and have probability one. An empty table
+    gives no rows. Columns named like the new ones are replaced.
     """
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     docs = docs.drop(*new, "_block", "_train")

@@ -309,6 +309,14 @@ def test_language_model_equals_brute_force(docs, rows, block):
         assert r.base_score == pytest.approx(want[r.doc_id][3], rel=1e-9) and r.score == pytest.approx(want[r.doc_id][4], rel=1e-9)
 
 
+def test_rare_bigrams_stay_in_a_large_corpus(spark):
+    """Words that occur three times keep their bigram among 500,000 tokens."""
+    rows = [(i, "rare pair") for i in range(3)] + [(i, "the of " * 2500) for i in range(10, 110)]
+    want = brute_model(rows, lambda i: True, 0, 0.75)
+    for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect():
+        assert r.score == pytest.approx(want[r.doc_id][4], rel=1e-9)
+
+
 def test_states_sum_to_one():
     words = np.array(sorted([language_model.BEGIN, language_model.END, 5, 9]), np.uint64)
     counts = np.array([{5: 6, 9: 3, language_model.END: 4, language_model.BEGIN: 4}[int(w)] for w in words])
