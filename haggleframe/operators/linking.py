@@ -16,14 +16,17 @@ def link_once(pairs: DataFrame, left: str, right: str, score: str, least: float,
     return claims.filter("_claims = 1").select(left, right, score)
 
 
-def link_rounds(pairs: DataFrame, left: str, right: str, score: str, least: float, margin: float, rounds: int = 20) -> DataFrame:
-    """Repeat `link_once` on what is still free until nothing new links; each round settles one link of every contested chain at least."""
-    done = None
-    free = pairs
-    for _ in range(rounds):
+def link_rounds(pairs: DataFrame, left: str, right: str, score: str, least: float, margin: float) -> DataFrame:
+    """Repeat `link_once` on what is still free until nothing new links, however many rounds a contested chain takes.
+
+    Pairs are kept once and the links so far each round, so that a round's plan doesn't grow. A round without a new
+    link ends the loop, and every other one takes a left side away, so it ends.
+    """
+    pairs = pairs.checkpoint()
+    done = pairs.select(left, right, score).limit(0).checkpoint()
+    while True:
+        free = pairs.join(done.select(left), left, "left_anti").join(done.select(right), right, "left_anti")
         new = link_once(free, left, right, score, least, margin).checkpoint()
         if new.isEmpty():
-            break
-        done = new if done is None else done.unionByName(new)
-        free = free.join(new.select(left), left, "left_anti").join(new.select(right), right, "left_anti")
-    return done if done is not None else pairs.select(left, right, score).limit(0)
+            return done
+        done = done.unionByName(new).checkpoint()

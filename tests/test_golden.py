@@ -159,3 +159,11 @@ def test_one_to_one_rounds(spark, tmp_path):
     assert first.collect() == []  # both claim x
     loose = spark.createDataFrame([("a", "x", 200), ("b", "y", 150), ("b", "z", 145), ("c", "y", 180)], "l string, r string, score long")
     assert {tuple(r)[:2] for r in linking.link_rounds(loose, "l", "r", "score", 130, 10).collect()} == {("a", "x"), ("c", "y"), ("b", "z")}
+
+
+def test_a_chain_of_more_than_twenty_rounds_is_linked_to_its_end(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    n = 23  # each left side has a margin only after the one before took the right side they contest
+    pairs = [(i, i, 100) for i in range(n)] + [(i, i - 1, 95) for i in range(1, n)]
+    links = linking.link_rounds(spark.createDataFrame(pairs, "l long, r long, score long").coalesce(1), "l", "r", "score", 90, 12)
+    assert sorted(tuple(r) for r in links.collect()) == [(i, i, 100) for i in range(n)]
