@@ -19,10 +19,10 @@ _PAIRS_SQL = with_roles("listings") + """, o AS (SELECT * FROM listings WHERE li
         FROM o JOIN k USING (game_id) WHERE abs(o.price_cents - k.price_cents) <= 10000)"""
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active listings against sold ones of the same game, scored by price, seller and shipping."""
+def scored_pairs(spark: SparkSession, sf_dir: str, offers: str = "seller_id % 5 = 0") -> DataFrame:
+    """Active listings, by default those that the SQL takes, against sold ones of the same game, scored by price, seller and shipping."""
     l = listings(spark, sf_dir)
-    o = l.filter("lifecycle = 'ACTIVE' AND seller_id % 5 = 0").select("listing_id", "game_id", F.col("price_cents").alias("p"), F.col("seller_id").alias("s"), F.col("shipping_cents").alias("h"))
+    o = l.filter("lifecycle = 'ACTIVE'").filter(offers).select("listing_id", "game_id", F.col("price_cents").alias("p"), F.col("seller_id").alias("s"), F.col("shipping_cents").alias("h"))
     k = l.filter("lifecycle = 'SOLD'").select(F.col("listing_id").alias("candidate_id"), "game_id", "price_cents", "seller_id", "shipping_cents")
     diff = F.abs(F.col("p") - F.col("price_cents"))
     by_price = F.when(diff <= 500, 32).when(diff <= 2500, 26).when(diff <= 10000, 10).otherwise(0)
@@ -46,12 +46,12 @@ def batch_link_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def link_until_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links repeated on what is still free; no SQL, tested against a loop in plain Python."""
+    """Links of all active listings, repeated on what is still free; no SQL, tested against a loop in plain Python."""
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="haggleframe-"))
-    return linking.link_rounds(scored_pairs(spark, sf_dir), "listing_id", "candidate_id", "score", 90, 12)
+    return linking.link_rounds(scored_pairs(spark, sf_dir, offers="true"), "listing_id", "candidate_id", "score", 90, 12)
 
 
 @query(_PAIRS_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY score DESC, candidate_id) AS i, lead(score) OVER (PARTITION BY listing_id ORDER BY score DESC, candidate_id) AS second FROM pairs)
