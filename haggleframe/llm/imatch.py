@@ -27,21 +27,57 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), SEPARATORS)), "")
 
 
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """`text`, each one once, null being empty, and how many there are.
+
+    Only texts that may have copies are shuffled: bits of the hashes that occur twice, 16 MB at most,
+    tell them from the others.
+    """
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    prints = materialise(rows.select(F.xxhash64("text").alias("_hash")).groupBy("_hash").count(), "texts")
+    bit = lambda h: F.pmod(h, F.lit(1 << 27)) + 1
+    again = prints.filter("count > 1").select(bit(F.col("_hash")).alias("_bit"))
+    bits = again.groupBy(F.bitmap_bucket_number("_bit").alias("_of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bits"))
+    placed = rows.withColumn("_bit", bit(F.xxhash64("text"))).withColumns({"_of": F.bitmap_bucket_number("_bit"), "_at": F.bitmap_bit_position("_bit").cast("int")})
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    copied = F.coalesce(F.floor(byte / F.pow(F.lit(2), F.col("_at") % 8)) % 2 == 1, F.lit(False))
+    told = placed.join(F.broadcast(bits), "_of", "left").select("text", copied.alias("_copied"))
+    return told.filter("NOT _copied").select("text").unionByName(told.filter("_copied").select("text").distinct()), prints.count()
+
+
 def lexicon(docs: DataFrame, low: float = 0.001, high: float = 0.05) -> DataFrame:
-    """(term, subset): terms in more than `low` and at most `high` of all documents, a row for each subset that a term is in.
+    """(term, subset): terms in more than `low` and at most `high` of all distinct texts, a row for each subset that a term is in.
 
-    A document has few terms, so at most (mean distinct terms) / low terms can be that frequent,
-    however large the corpus, and a term is in fewer than one subset in the mean: the size is
-    bounded, and checked before it is broadcast.
+    Copies count once: a text has no other terms for being copied often. A document has few terms,
+    so at most (mean distinct terms) / low terms can be that frequent, however large the corpus,
+    and a term is in fewer than one subset in the mean: the size is bounded, and checked before it
+    is broadcast.
     """
-    n = docs.count()
-    counts = docs.select(F.explode(terms(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("term")).groupBy("term").count()
-    # a term of one document identifies nothing, in a small corpus neither
+    texts, n = distinct_texts(docs)
+    counts = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").count()
+    # a term of one text identifies nothing, in a small corpus neither
     kept = counts.filter((F.col("count") > max(1, low * n)) & (F.col("count") <= high * n))
     member = [F.when(F.pmod(F.xxhash64(F.lit(i), "term"), F.lit(share)) == 0, F.lit(i)) for i, share in enumerate(SUBSETS)]
     return kept.select("term", F.explode(F.array_compact(F.array(*member))).alias("subset"))
 
 
+def own_parts(text: Column) -> Column:
+    """The fingerprint of a text without lexicon terms: all its terms in the same subsets.
+
+    If no subset has one, an "x" and the hash of the terms; without terms, of the text.
+    """
+    subsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(share).alias("share")) for i, share in enumerate(SUBSETS)])
+    once = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  binds x, so that it is evaluated once
+
+    def parts(own: Column) -> Column:
+        held = F.transform(subsets, lambda s: F.struct(s["i"].alias("i"), F.filter(own, lambda t: F.pmod(F.xxhash64(s["i"], t), s["share"]) == 0).alias("ts")))
+        named = F.transform(F.filter(held, lambda h: F.size(h["ts"]) > 0), lambda h: F.concat(F.lpad(h["i"].cast("string"), 2, "0"), F.substring(F.md5(F.array_join(h["ts"], " ")), 1, DIGITS)))
+        whole = F.when(F.size(own) > 0, F.array_join(own, " ")).otherwise(text)
+        return once(F.array_join(named, " "), lambda joined: F.when(joined != "", joined).otherwise(F.concat(F.lit("x"), F.substring(F.md5(whole), 1, DIGITS))))
+
+    return once(F.array_sort(terms(text)), parts)
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal parts among the subsets of which either fingerprint has a term; 1 for equal fingerprints."""
     x, y = F.split(a, " "), F.split(b, " ")
@@ -77,7 +113,7 @@ def fingerprint_edits(docs: DataFrame, low: float = 0.001, high: float = 0.05, b
 
     The edit replaces the last quarter of the code points (rounded down) by the first as many of
     the next document in ascending doc_id, the first one after the last. Null texts are empty. A
-    text without a lexicon term has the text's own hash behind an "x" as its fingerprint.
+    text without a lexicon term has the parts of all its own terms as its fingerprint.
     Ties in doc_id are ordered by text, null doc_ids come first, an empty table gives no rows.
 
     Texts are shuffled once, by bucket; the windows and groupings that follow keep that partitioning.
@@ -92,16 +128,16 @@ def fingerprint_edits(docs: DataFrame, low: float = 0.001, high: float = 0.05, b
     edited = nexts.select("doc_id", "_bucket", "_ghost", "_row", n.cast("long").alias("n_chars"), "text", F.concat(F.substring(F.col("text"), F.lit(1), n - gone), F.substring(F.col("_next"), F.lit(1), gone)).alias("_edited"))
     both = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("_edited").alias("t")))
     texts = edited.select("_bucket", "_row", "doc_id", "_ghost", "n_chars", F.unhex(F.sha2("_edited", 256)).alias("_sha"), F.explode(both).alias("v"))
-    owned = texts.select("_bucket", "_row", F.col("v.which").alias("_which"), F.col("v.t").alias("_t"), "doc_id", "_ghost", "n_chars", "_sha", F.md5("v.t").alias("_spare"))
+    owned = texts.select("_bucket", "_row", F.col("v.which").alias("_which"), F.col("v.t").alias("_t"), "doc_id", "_ghost", "n_chars", "_sha", own_parts(F.col("v.t")).alias("_spare"))
     own = ["doc_id", "_ghost", "n_chars", "_sha", "_spare"]
     # the empty string stands for the document itself: every document has it
-    long = owned.select("_bucket", "_row", "_which", *own, F.explode(F.concat(F.array(F.lit("")), terms(F.col("_t")))).alias("term"))
+    long = owned.select("_bucket", "_row", "_which", *own, F.explode(F.concat(F.array(F.lit("")), terms(F.col("_t")))).alias("term")).withColumn("_spare", F.when(F.col("term") == "", F.col("_spare")))
     table = words.unionByName(spark.range(1).select(F.lit("").alias("term"), F.lit(-1).alias("subset")))
     found = long.join(F.broadcast(table) if _small(words) else table, "term")
-    parts = found.groupBy("_bucket", "_row", "_which", "subset").agg(*[F.first(c).alias(c) for c in own], F.sort_array(F.collect_list("term")).alias("_terms"))
+    parts = found.groupBy("_bucket", "_row", "_which", "subset").agg(*[F.first(c, ignorenulls=c == "_spare").alias(c) for c in own], F.sort_array(F.collect_list("term")).alias("_terms"))
     part = F.when(F.col("subset") >= 0, F.concat(F.lpad(F.col("subset").cast("string"), 2, "0"), F.substring(F.md5(F.array_join("_terms", " ")), 1, DIGITS)))
-    prints = parts.groupBy("_bucket", "_row", "_which").agg(*[F.first(c).alias(c) for c in own], F.array_join(F.sort_array(F.collect_list(part)), " ").alias("_print"))
-    prints = prints.withColumn("_print", F.when(F.col("_print") == "", F.concat(F.lit("x"), F.substring("_spare", 1, DIGITS))).otherwise(F.col("_print")))
+    prints = parts.groupBy("_bucket", "_row", "_which").agg(*[F.first(c, ignorenulls=c == "_spare").alias(c) for c in own], F.array_join(F.sort_array(F.collect_list(part)), " ").alias("_print"))
+    prints = prints.withColumn("_print", F.when(F.col("_print") == "", F.col("_spare")).otherwise(F.col("_print")))
     rows = prints.groupBy("_bucket", "_row").agg(*[F.first(c).alias(c) for c in own], *[F.max(F.when(F.col("_which") == i, F.col("_print"))).alias(c) for i, c in enumerate(("fingerprint", "edited_fingerprint"))])
     following = F.lead("fingerprint").over(Window.partitionBy("_bucket").orderBy("_row"))
     out = rows.select("doc_id", "_ghost", "n_chars", "_sha", "fingerprint", "edited_fingerprint", F.coalesce(following, F.lit("")).alias("_following")).filter(~F.col("_ghost"))

@@ -407,6 +407,29 @@ def test_fingerprint_parts_are_hashes_of_sorted_terms(spark, docs):
     assert row.fingerprint == " ".join(want)
 
 
+def test_terms_of_copies_count_once(spark):
+    """40 copies among 100 rows: their terms stay in the lexicon, and their fingerprints outlive the edit."""
+    text = lambda k: " ".join(f"w{(k * 7 + j) % 200}" for j in range(40))
+    rows = [(i, text(0)) for i in range(40)] + [(i, text(i)) for i in range(40, 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found, n = imatch.distinct_texts(df)
+    assert sorted(r.text for r in found.collect()) == sorted({t for _, t in rows}) and n == 61
+    df_of = Counter(w for t in {t for _, t in rows} for w in set(t.split()))
+    low, high = 0.05, 0.35
+    kept = {w for w, c in df_of.items() if low * n < c <= high * n}
+    got = {r.term for r in imatch.lexicon(df, low, high).collect()}
+    assert got <= kept and got & set(text(0).split())
+    out = {r.doc_id: r for r in imatch.fingerprint_edits(df, low, high, 3).collect()}
+    assert all(not out[i].fingerprint.startswith("x") for i in range(40)) and out[39].near_edited > 0
+
+
+def test_texts_without_lexicon_terms_keep_parts_through_an_edit(spark):
+    rows = [(i, " ".join(f"t{i}n{j}" for j in range(60))) for i in range(20)]
+    out = imatch.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string"), buckets=3).collect()
+    assert imatch.lexicon(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert all(r.near_edited > 0 for r in out) and all(r.near_next == 0 for r in out)
+
+
 def test_fingerprints_odd(spark, empty):
     assert imatch.fingerprint_edits(odd_rows(spark)).count() == 7
     assert imatch.fingerprint_edits(empty).count() == 0
