@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from haggleframe.sources.shared import shared_dir
@@ -58,12 +60,55 @@ def ranked(df: DataFrame, keys: list[str], salt: Column, order: list, salts: int
     return within.join(shifts, [*keys, "_salt"]).withColumn("_rank", F.col("_at") + F.col("_shift")).drop("_salt", "_at", "_shift")
 
 
-def in_blocks(docs: DataFrame, target: int) -> tuple[DataFrame, int]:
-    """Add `_block`, so that a block has about `target` bytes of text, and tell how many blocks there are.
+def packed(table: pa.Table) -> bytes:
+    """A table as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for b in table.combine_chunks().to_batches():
+            out.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(payloads: pa.ChunkedArray, schema: pa.Schema | None = None) -> pa.Table:
+    """The rows of all packed tables; an empty table of `schema` if there is none."""
+    parts = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in payloads if x.is_valid]
+    return pa.concat_tables(parts) if parts else schema.empty_table()
+
+
+def in_blocks(docs: DataFrame, target: int, buffered: int = 32 << 20) -> tuple[DataFrame, int, pa.Schema]:
+    """(_block, payload), how many blocks there are, and the schema of what is packed: the rows of `docs` dealt to
+    blocks of about `target` bytes of text.
 
     The block follows from doc_id and text, so each reading deals rows alike and a key that many
-    rows share, a doc_id or a text, is spread. Null texts have no bytes. At least one block.
+    rows share, a doc_id or a text, is spread. Rows of a block are packed and compressed by about
+    `buffered` bytes of a task's text, so that a text is shuffled at a third of its size. Null texts have no bytes. At least one block.
     """
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // target))
-    return docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")), blocks
+    dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            keys = sorted(held)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([packed(pa.Table.from_batches(held[k])) for k in keys], pa.binary())], ["_block", "payload"])
+
+        for batch in text_batches(batches, limit=buffered):
+            order = pc.sort_indices(batch.column("_block"))
+            batch = batch.take(order)
+            key = batch.column("_block").to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else []
+            rows = batch.select([n for n in batch.schema.names if n != "_block"])
+            for a, b in zip(cuts, cuts[1:]):
+                held.setdefault(int(key[a]), []).append(rows.slice(a, b - a))
+            size += batch.nbytes
+            if size >= buffered:
+                yield out()
+                held, size = {}, 0
+        if held:
+            yield out()
+
+    # what uses it joins by block, and asks for blocks that aren't null; asking here too keeps all uses of the shuffle alike, so that it is written once
+    return dealt.mapInArrow(run, "_block int, payload binary").filter("_block IS NOT NULL"), blocks, to_arrow_schema(docs.schema)

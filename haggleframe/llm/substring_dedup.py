@@ -5,7 +5,8 @@ before hashes are shuffled: the least hash of a shorter run of words inside a wi
 follows from the window's words alone, so a window repeats only if its anchor does. Windows with
 a repeated anchor are counted twice over: the block finds the first of its own copies, and Spark
 finds the first of the blocks' copies, so a window that a third of all documents share is one row
-per block. All later copies merge into maximal intervals, which are removed.
+per block. Later copies in the own block aren't shuffled, the block finds them again when it cuts.
+All later copies merge into maximal intervals, which are removed.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from haggleframe.llm.common import in_blocks, materialise
+from haggleframe.llm.common import in_blocks, unpacked
 
 #: Fixed odd factors of the polynomial hash, taken modulo 2^64 over 64-bit hashes of words.
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -85,77 +86,71 @@ def anchors(words: np.ndarray, starts: np.ndarray, window: int, anchor: int) ->
     return runs, starts + place[starts]
 
 
-def intervals(places: np.ndarray, size: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the maximal runs of words that the windows at `places` cover."""
-    change = np.zeros(total + 1, np.int64)
-    np.add.at(change, places, 1)
-    np.add.at(change, places + size, -1)
-    inside = np.append(np.cumsum(change)[:-1] > 0, False)
-    edge = np.flatnonzero(np.diff(np.append(False, inside).astype(np.int8)))
-    return edge[::2], edge[1::2] - edge[::2]
-
-
-def _anchor_counts(window: int, anchor: int) -> Callable[[pa.Table], pa.Table]:
+def _anchor_counts(schema: pa.Schema, window: int, anchor: int) -> Callable[[pa.Table], pa.Table]:
     def run(block: pa.Table) -> pa.Table:
-        words, counts = block_words(block)
+        words, counts = block_words(unpacked(block["payload"], schema))
         runs, at = anchors(words, whole_windows(counts, window), window, anchor)
         key, n = np.unique(runs[np.unique(at)], return_counts=True)
-        return pa.table({"_block": pa.array(np.full(len(key), block["_block"][0].as_py(), np.int32)), "anchor": pa.array(key.view(np.int64)), "n": pa.array(n)})
+        return pa.table({"_block": pa.array(np.full(len(key), block["_block"][0].as_py(), np.int32)), "anchor": pa.array(key.view(np.int64)), "many": pa.array(n > 1)})
 
     return run
 
 
-WINDOWS = "hash long, first_doc long, _block int, at int, n int"
+def _windows(words: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of all windows."""
+    starts = whole_windows(counts, window)
+    return starts, rolling(words, window)[starts]
+
 
+FIRSTS = "hash long, first_doc long, at int, _block int"
 
-def _block_windows(window: int, anchor: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """n is 0 for the block's first copy of a window with a repeated anchor; later copies are intervals of n words."""
+
+def _block_firsts(schema: pa.Schema, window: int, anchor: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The block's first copy of every window with a repeated anchor."""
 
     def run(block: pa.Table, repeated: pa.Table) -> pa.Table:
         if not block.num_rows or not repeated.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in (("hash", pa.int64()), ("first_doc", pa.int64()), ("_block", pa.int32()), ("at", pa.int32()), ("n", pa.int32()))})
-        own = ordered(block)
+            return pa.table({"hash": pa.array([], pa.int64()), "first_doc": pa.array([], pa.int64()), "at": pa.array([], pa.int32()), "_block": pa.array([], pa.int32())})
+        own = ordered(unpacked(block["payload"], schema))
         words, counts = block_words(own)
-        starts = whole_windows(counts, window)
+        starts, hashes = _windows(words, counts, window)
         runs, at = anchors(words, starts, window, anchor)
-        starts = starts[np.isin(runs[at], repeated["anchor"].to_numpy().view(np.uint64))]
-        hashes, first = np.unique(rolling(words, window)[starts], return_index=True)
-        later = np.ones(len(starts), bool)
-        later[first] = False
-        gone, length = intervals(starts[later], window, len(words))
-        ids = np.array([LAST if x is None else x for x in own["doc_id"].to_pylist()], np.int64)
+        may = np.isin(runs[at], repeated["anchor"].to_numpy().view(np.uint64))
+        del runs, at
+        starts, hashes = starts[may], hashes[may]
+        hashes, first = np.unique(hashes, return_index=True)
         order = np.argsort(first)
         place = starts[first][order]
-        doc = np.repeat(ids, counts)[place]
-        empty = np.zeros(len(gone), np.int64)
-        return pa.table(
-            {
-                "hash": pa.array(np.concatenate((hashes[order].view(np.int64), empty))),
-                "first_doc": pa.array(np.concatenate((doc, empty))),
-                "_block": pa.array(np.full(len(place) + len(gone), block["_block"][0].as_py(), np.int32)),
-                "at": pa.array(np.concatenate((place, gone)).astype(np.int32)),
-                "n": pa.array(np.concatenate((np.zeros(len(place), np.int64), length)).astype(np.int32)),
-            }
-        )
+        ids = np.array([LAST if x is None else x for x in own["doc_id"].to_pylist()], np.int64)
+        doc = ids[np.searchsorted(np.cumsum(counts), place, "right")]
+        number = np.full(len(place), block["_block"][0].as_py(), np.int32)
+        return pa.table({"hash": pa.array(hashes[order].view(np.int64)), "first_doc": pa.array(doc), "at": pa.array(place.astype(np.int32)), "_block": pa.array(number)})
 
     return run
 
 
-def _cut(window: int, columns: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _cut(schema: pa.Schema, window: int, columns: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Removes the block's own later copies, and the windows at `marks`, which start earlier in other blocks."""
+
     def run(block: pa.Table, marks: pa.Table) -> pa.Table:
-        own = ordered(block)
-        counts = np.fromiter((len(w) for w in each_words(own)), np.int64, own.num_rows)
-        change = np.zeros(int(counts.sum()) + 1, np.int64)
-        at, n = marks["at"].to_numpy().astype(np.int64), marks["n"].to_numpy().astype(np.int64)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + np.where(n > 0, n, window), -1)
+        own = ordered(unpacked(block["payload"], schema))
+        words, counts = block_words(own)
+        starts, hashes = _windows(words, counts, window)
+        later = np.ones(len(starts), bool)
+        later[np.unique(hashes, return_index=True)[1]] = False
+        change = np.zeros(len(words) + 1, np.int32)
+        del words, hashes
+        for at in (starts[later], marks["at"].to_numpy()):
+            np.add.at(change, at, 1)
+            np.add.at(change, at + window, -1)
         kept = np.cumsum(change)[:-1] == 0
+        del change, starts, later
         texts, removed, sha, begin = own["text"].to_pylist(), [], [], 0
-        for i, words in enumerate(each_words(own)):
-            keep = kept[begin : begin + len(words)]
-            begin += len(words)
-            left = words if keep.all() else [w for w, k in zip(words, keep.tolist()) if k]
-            removed.append(len(words) - len(left))
+        for i, found in enumerate(each_words(own)):
+            keep = kept[begin : begin + len(found)]
+            begin += len(found)
+            left = found if keep.all() else [w for w, k in zip(found, keep.tolist()) if k]
+            removed.append(len(found) - len(left))
             joined = b" ".join(left)
             sha.append(hashlib.sha256(joined).hexdigest())
             if removed[-1]:
@@ -175,20 +170,18 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 8, block_byt
     ASCII white space; a null or empty text has none. Null doc_ids come after all numbers. Rows that
     share a doc_id count as different texts in an order that depends on the rows alone, so of
     repeated rows one keeps its passages. Windows count as they are in the input. Columns named like
-    the new ones are replaced.
+    the new ones are replaced. An empty table gives no rows.
 
-    A shuffled hash has 64 bits: among n windows with repeated anchors, n^2 / 2^65 unequal pairs agree by chance.
+    A shuffled hash has 64 bits: among n windows, n^2 / 2^65 unequal pairs agree by chance.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_sha256", "_block").withColumn("doc_id", F.col("doc_id").cast("long"))
-    dealt, _ = in_blocks(docs, block_bytes)
+    docs = docs.drop("n_words", "n_removed", "kept_sha256", "_block").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    dealt, _, schema = in_blocks(docs, block_bytes)
     by_block = dealt.groupBy("_block")
-    counts = by_block.applyInArrow(_anchor_counts(window, anchor), "_block int, anchor long, n long")
-    total = F.sum("n").over(Window.partitionBy("anchor"))  # a row per block at most
-    repeated = counts.withColumn("_total", total).filter("_total > 1").select("_block", "anchor")
-    found = materialise(by_block.cogroup(repeated.groupBy("_block")).applyInArrow(_block_windows(window, anchor), WINDOWS), "windows")
+    counts = by_block.applyInArrow(_anchor_counts(schema, window, anchor), "_block int, anchor long, many boolean")
+    same = Window.partitionBy("anchor")  # a row per block at most
+    repeated = counts.withColumn("_again", F.max("many").over(same) | (F.count(F.lit(1)).over(same) > 1)).filter("_again").select("_block", "anchor")
+    firsts = by_block.cogroup(repeated.groupBy("_block")).applyInArrow(_block_firsts(schema, window, anchor), FIRSTS)
     here = F.struct("first_doc", "_block", "at")
-    firsts = found.filter("n = 0").withColumn("_first", F.min(here).over(Window.partitionBy("hash")))
-    later = firsts.filter(here != F.col("_first")).select("_block", "at", "n")
-    marks = later.unionByName(found.filter("n > 0").select("_block", "at", "n"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", n_words long, n_removed long, kept_sha256 string"
-    return by_block.cogroup(marks.groupBy("_block")).applyInArrow(_cut(window, docs.columns), schema)
+    later = firsts.withColumn("_first", F.min(here).over(Window.partitionBy("hash"))).filter(here != F.col("_first"))  # a row per block at most
+    new = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", n_words long, n_removed long, kept_sha256 string"
+    return by_block.cogroup(later.select("_block", "at").groupBy("_block")).applyInArrow(_cut(schema, window, docs.columns), new)
