@@ -4,31 +4,37 @@ The model is a bigram model over a smoothed unigram base, with absolute discount
 are the contexts, its arcs the retained bigrams, and every state has a failure arc to the root,
 whose arcs are the unigrams; the failure weight makes each state's probabilities sum to one.
 
-Counts cover the whole training corpus and live in Spark tables. Documents are dealt to blocks of
-some megabytes; a block asks for the counts of its own words and bigrams, builds the part of the
-automaton that its texts can reach, and runs each text through it from left to right. No task
-holds the vocabulary, and no key has more rows than there are blocks.
+Counts cover the whole training corpus. Each task makes blocks of some megabytes of its documents:
+the block's distinct words and its texts as numbers of these. Spark adds up the blocks' counts: of
+words as rows, of bigrams as sorted, compressed runs of pairs of word numbers, dealt to buckets by
+the hash of the pair. A word that only one block has, and its bigrams, are counted there. A bucket
+answers each run with the pairs' counts in the run's own order. A block then
+builds the part of the automaton that its texts can reach, and runs each text through it from left
+to right. No task holds the vocabulary, and no key has more rows than there are blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from haggleframe.llm.common import in_blocks
+from haggleframe.llm.common import materialise, packed, ranked, text_batches, unpacked
 
 #: Words are known by the XXH64 of their bytes; these stand for the end of a text and for what comes before its first word.
 END, BEGIN = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" begin")
 SIGNED = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-
-#: Kinds of rows that a block gets: a word's count; a bigram's; a context's retained sum and number; the totals N and V.
-WORD, BIGRAM, CONTEXT, TOTALS = range(4)
+#: Fixed odd factors that deal pairs to buckets.
+DEAL_V, DEAL_W = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: A bigram is retained if it occurs so often in the training texts.
+LEAST = 2
 
 
 def block_tokens(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -43,63 +49,169 @@ def block_tokens(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), counts
 
 
-def among(x: np.ndarray, known: np.ndarray, step: int = 1 << 19) -> np.ndarray:
-    """Whether each value is among the sorted ones, in steps that need little memory."""
-    out = np.zeros(len(x), bool)
-    for a in range(0, len(x) if len(known) else 0, step):
-        part = x[a : a + step]
-        at = np.minimum(np.searchsorted(known, part), len(known) - 1)
-        out[a : a + step] = known[at] == part
-    return out
-
-
-def _column(table: pa.Table, name: str) -> np.ndarray:
-    return table[name].to_numpy().view(np.uint64)
-
-
-def _word_counts(block: pa.Table) -> pa.Table:
-    """Every token of the block with its number in training texts, 0 for tokens of the others; and the number of training texts."""
-    tokens, counts = block_tokens(block)
-    trained = block["_train"].to_numpy(zero_copy_only=False)
-    learned, times = np.unique(tokens[np.repeat(trained, counts)], return_counts=True)
-    key = np.unique(tokens)
-    n = np.zeros(len(key), np.int64)
-    n[np.searchsorted(key, learned)] = times
-    key, n = np.append(key, np.uint64(BEGIN)), np.append(n, np.int64(trained.sum()))
-    return pa.table({"_block": pa.array(np.full(len(key), block["_block"][0].as_py(), np.int32)), "word": pa.array(key.view(np.int64)), "n": pa.array(n)})
-
-
-def _pairs(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The context of each token: the word before it, BEGIN for the first of a text."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(counts) - counts] = BEGIN
-    return before
-
-
-def _bigram_counts(min_share: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(block: pa.Table, known: pa.Table) -> pa.Table:
-        if not block.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in (("_block", pa.int32()), ("v", pa.int64()), ("w", pa.int64()), ("n", pa.int64()))})
-        tokens, counts = block_tokens(block)
-        kind, x = known["kind"].to_numpy(), known["x"].to_numpy()
-        total = int(x[kind == TOTALS][0])
-        frequent = np.sort(_column(known, "k1")[(kind == WORD) & (x >= max(2, min_share * total))])
-        before = _pairs(tokens, counts)
-        both = among(before, frequent) & among(tokens, frequent)
-        trained = np.repeat(block["_train"].to_numpy(zero_copy_only=False), counts)[both]
-        v, w = before[both], tokens[both]
-        del before, tokens, both
-        order = np.lexsort((w, v))
-        v, w, trained = v[order], w[order], trained[order]
-        head = np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])) if len(v) else np.zeros(0, bool)
-        n = np.add.reduceat(trained.astype(np.int64), np.flatnonzero(head)) if len(v) else np.zeros(0, np.int64)
-        v, w = v[head], w[head]
-        return pa.table({"_block": pa.array(np.full(len(v), block["_block"][0].as_py(), np.int32)), "v": pa.array(v.view(np.int64)), "w": pa.array(w.view(np.int64)), "n": pa.array(n)})
+def _column(table: pa.Table, name: str, null: int) -> np.ndarray:
+    return pc.fill_null(table[name], null).to_numpy()
+
+
+STATE = "_block long, docs binary, words binary, tokens binary"
+
+
+def _states(columns: list[str], size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of about `size` bytes of a task's texts.
+
+    docs: the rows without their text, with the number of tokens and whether they are learned from;
+    words: the distinct words by hash, with training counts, BEGIN having the number of training texts;
+    tokens: the place of every token among the words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made = TaskContext.get().partitionId() << 32, 0
+
+        def out(held: list[pa.RecordBatch], parts: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+            docs = pa.Table.from_batches(held)
+            trained, counts = docs["_train"].to_numpy(zero_copy_only=False), np.concatenate(sizes)
+            words, at = np.unique(np.append(np.concatenate(parts), np.uint64(BEGIN)), return_inverse=True)
+            at = at[:-1].astype(np.int32)
+            n = np.bincount(at[np.repeat(trained, counts)], minlength=len(words))
+            n[np.searchsorted(words, np.uint64(BEGIN))] = trained.sum()
+            row = [packed(docs.append_column("_size", pa.array(counts))), packed(pa.table({"word": words.view(np.int64), "n": n.astype(np.int32)})), packed(pa.table({"token": at}))]
+            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), *[pa.array([x], pa.binary()) for x in row]], ["_block", "docs", "words", "tokens"])
+
+        held, parts, sizes, bytes_held = [], [], [], 0
+        for batch in text_batches(batches):
+            tokens, counts = block_tokens(pa.Table.from_batches([batch]))
+            held.append(batch.select(columns))
+            parts.append(tokens)
+            sizes.append(counts)
+            bytes_held += 6 * len(tokens)
+            if bytes_held >= size:
+                yield out(held, parts, sizes)
+                held, parts, sizes, bytes_held = [], [], [], 0
+                made += 1
+        if held:
+            yield out(held, parts, sizes)
 
     return run
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_block, word, n) of every word of every block."""
+    for b in batches:
+        for number, words in zip(b.column("_block").to_pylist(), b.column("words")):
+            table = unpacked(pa.chunked_array([[words]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(table.num_rows, number)), table["word"].combine_chunks(), table["n"].combine_chunks().cast(pa.int64())], ["_block", "word", "n"])
+
+
+class Block:
+    """A block's words and bigrams, numbered within the block by the words' hashes, with training counts."""
+
+    def __init__(self, row: pa.Table, known: pa.Table) -> None:
+        """known: corpus-wide counts and numbers of the words that other blocks have, too; these numbers go by hash as well."""
+        self.docs, words = unpacked(row["docs"]), unpacked(row["words"])
+        self.sizes = self.docs["_size"].to_numpy()
+        self.words = words["word"].to_numpy().view(np.uint64)
+        self.counts = words["n"].to_numpy().astype(np.int64)
+        self.tokens = unpacked(row["tokens"])["token"].to_numpy()
+        self.begin = int(np.searchsorted(self.words, np.uint64(BEGIN)))
+        self.numbers = np.full(len(self.words), -1, np.int64)
+        at = np.searchsorted(self.words, known["word"].to_numpy().view(np.uint64))
+        self.counts[at] = known["c"].to_numpy()
+        self.numbers[at] = _column(known, "id", -1)
+
+    def count_pairs(self) -> None:
+        """Distinct pairs (v, w) of a word and the one before it, with training counts; and which of them other blocks may have."""
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[np.cumsum(self.sizes) - self.sizes] = self.begin
+        key = (before.astype(np.int64) * len(self.words) + self.tokens) << 1
+        key += np.repeat(self.docs["_train"].to_numpy(zero_copy_only=False), self.sizes)
+        key.sort()
+        pairs = key >> 1
+        head = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.n = np.add.reduceat(key & 1, head).astype(np.int32) if len(key) else np.zeros(0, np.int32)
+        pairs = pairs[head]
+        del key, before
+        self.v, self.w = (pairs // len(self.words)).astype(np.int32), (pairs % len(self.words)).astype(np.int32)
+        self.shared = (self.numbers[self.v] >= 0) & (self.numbers[self.w] >= 0)
+
+    def runs(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the shared pairs in order of (bucket, v, w), with these numbers."""
+        place = np.flatnonzero(self.shared)
+        v, w = self.numbers[self.v[place]], self.numbers[self.w[place]]
+        mixed = v.view(np.uint64) * DEAL_V ^ w.view(np.uint64) * DEAL_W
+        bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket if buckets > 1 << 15 else bucket.astype(np.int16), kind="stable")
+        return place[order], bucket[order], v[order], w[order]
+
+
+RUNS = "bucket int, _block long, payload binary, contexts binary"
+
+
+def _pair_runs(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For each bucket, the block's pairs that other blocks may have. In one of them also what the other retained pairs add to contexts."""
+
+    def run(row: pa.Table, known: pa.Table) -> pa.Table:
+        own, number = Block(row, known), row["_block"][0].as_py()
+        own.count_pairs()
+        alone = (own.n >= LEAST) & ~own.shared & (own.numbers[own.v] >= 0)
+        v, at = np.unique(own.numbers[own.v[alone]], return_inverse=True)
+        contexts = {"v": v, "x": np.bincount(at, own.n[alone], len(v)).astype(np.int64), "y": np.bincount(at, minlength=len(v))}
+        place, bucket, v, w = own.runs(buckets)
+        n = own.n[place]
+        del own, place
+        head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
+        rows = []
+        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(bucket)]):
+            rows.append((int(bucket[a]), number, packed(pa.table({"v": np.diff(v[a:b], prepend=0), "w": w[a:b], "n": n[a:b]})), None))
+        rows.append((number % buckets, number, None, packed(pa.table(contexts))))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "_block", "payload", "contexts"])
+
+    return run
+
+
+def _bucket_counts(runs: list[pa.Table]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """v and corpus-wide count of each distinct pair of the runs, and the place of every pair of every run among these."""
+    v = np.concatenate([np.cumsum(t["v"].to_numpy()) for t in runs])
+    w = np.concatenate([t["w"].to_numpy() for t in runs])
+    n = np.concatenate([t["n"].to_numpy() for t in runs])
+    small = not len(v) or max(v.max(), w.max()) < 1 << 31
+    order = np.argsort(v << 32 | w) if small else np.lexsort((w, v))
+    v, w = v[order], w[order]
+    head = np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]))
+    at = np.empty(len(v), np.int64)
+    at[order] = np.cumsum(head) - 1
+    return v[head], np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(head)), at
+
+
+ANSWERS, CONTEXTS = "_block long, bucket int, payload binary", "v long, x long, y long"
+
+
+def _answers(rows: pa.Table) -> pa.Table:
+    """The counts of the pairs of every run, in the run's order; 0 for a pair that isn't retained."""
+    rows = rows.filter(rows["payload"].is_valid())
+    if not rows.num_rows:
+        return pa.schema({"_block": pa.int64(), "bucket": pa.int32(), "payload": pa.binary()}).empty_table()
+    runs = [unpacked(rows["payload"].slice(i, 1)) for i in range(rows.num_rows)]
+    _, c, at = _bucket_counts(runs)
+    c = np.where(c >= LEAST, c, 0)[at]
+    cuts = np.cumsum([0, *(t.num_rows for t in runs)]).tolist()
+    out = [packed(pa.table({"c": c[a:b]})) for a, b in zip(cuts, cuts[1:])]
+    return pa.table({"_block": rows["_block"], "bucket": rows["bucket"], "payload": pa.array(out, pa.binary())})
+
+
+def _contexts(rows: pa.Table) -> pa.Table:
+    """Sum of the counts, and number, of the bucket's retained pairs by their first word."""
+    parts = [unpacked(pa.chunked_array([[x]])) for x in rows["contexts"] if x.is_valid]
+    runs = [unpacked(pa.chunked_array([[x]])) for x in rows["payload"] if x.is_valid]
+    if runs:
+        v, c, _ = _bucket_counts(runs)
+        kept = c >= LEAST
+        parts.append(pa.table({"v": v[kept], "x": c[kept], "y": np.ones(int(kept.sum()), np.int64)}))
+    whole = pa.concat_tables(parts)
+    v, at = np.unique(whole["v"].to_numpy(), return_inverse=True)
+    return pa.table({"v": v, "x": np.bincount(at, whole["x"].to_numpy(), len(v)).astype(np.int64), "y": np.bincount(at, whole["y"].to_numpy(), len(v)).astype(np.int64)})
+
+
 class Automaton:
     """States 0 to n_words - 1 are the contexts by word number; `fail` weighs their failure arcs to the root."""
 
@@ -135,74 +247,78 @@ class Automaton:
 OUT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(columns: list[str], discount: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(block: pa.Table, known: pa.Table) -> pa.Table:
-        tokens, counts = block_tokens(block)
-        kind, x, y = known["kind"].to_numpy(), known["x"].to_numpy(), known["y"].to_numpy()
-        k1, k2 = _column(known, "k1"), _column(known, "k2")
-        total, distinct = int(x[kind == TOTALS][0]), int(y[kind == TOTALS][0])
-        own = np.flatnonzero(kind == WORD)
-        own = own[np.argsort(k1[own])]
-        two, ctx = kind == BIGRAM, kind == CONTEXT
-        automaton = Automaton(k1[own], x[own], total, distinct, (k1[two], k2[two], x[two]), (k1[ctx], x[ctx], y[ctx]), discount)
-        is_known = x[own] > 0
-        del known, kind, x, y, k1, k2, own, two, ctx
-        cuts = np.append(0, np.cumsum(counts)).tolist()
+def _score(columns: list[str], buckets: int, discount: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(row: pa.Table, known: pa.Table) -> pa.Table:
+        totals = known.filter(known["total"].is_valid())
+        total, distinct = totals["total"][0].as_py(), totals["distinct"][0].as_py()
+        told = known.filter(known["word"].is_valid())
+        own = Block(row, told)
+        own.count_pairs()
+        answers = known.filter(known["bucket"].is_valid()).select(["bucket", "payload"]).sort_by("bucket")
+        del row, known
+        place = own.runs(buckets)[0]
+        if len(place):
+            own.n[place] = unpacked(answers["payload"])["c"].to_numpy()
+        kept = own.n >= LEAST
+        v, w, n = own.v[kept], own.w[kept], own.n[kept].astype(np.int64)
+        many = np.bincount(v, minlength=len(own.words))
+        mass = np.bincount(v, n, len(own.words)).astype(np.int64)
+        at = np.searchsorted(own.words, told["word"].to_numpy().view(np.uint64))
+        numbered = own.numbers[at] >= 0  # other blocks have more bigrams of these
+        mass[at[numbered]], many[at[numbered]] = _column(told, "x", 0)[numbered], _column(told, "y", 0)[numbered]
+        ctx = np.flatnonzero(many)
+        docs, words, counts, tokens, sizes = own.docs, own.words, own.counts, own.tokens, own.sizes
+        del own, told, answers, place, kept, at
+        automaton = Automaton(words, counts, total, distinct, (words[v], words[w], n), (words[ctx], mass[ctx], many[ctx]), discount)
+        del v, w, n, many, mass, ctx
+        is_known = counts > 0
+        cuts = np.append(0, np.cumsum(sizes)).tolist()
         score, base_score, n_known = [], [], []
         for a, b in zip(cuts, cuts[1:]):
-            number = np.searchsorted(automaton.words, tokens[a:b])
+            number = tokens[a:b]
             root = automaton.root[number]
             score.append(automaton.run(number.tolist(), root.tolist()))
             base_score.append(float(root.sum()))
             n_known.append(int(is_known[number].sum()))
-        out = {c: block[c] for c in columns}
-        return pa.table(out | {"n_tokens": pa.array(counts), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(counts), pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(score, pa.float64())})
+        out = {c: docs[c] for c in columns}
+        return pa.table(out | {"n_tokens": pa.array(sizes), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(sizes), pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(score, pa.float64())})
 
     return run
 
 
-def score(docs: DataFrame, train: Column, min_share: float = 0.0, discount: float = 0.75, block_bytes: int = 24 << 20) -> DataFrame:
-    """All rows and columns with n_tokens, n_known, train_tokens, base_score and score; rows where `train` is true are learned from.
+def score(docs: DataFrame, train: Column, discount: float = 0.75, block_bytes: int = 24 << 20) -> DataFrame:
+    """All rows and columns but `text`, with n_tokens, n_known, train_tokens, base_score and score; rows where `train` is true are learned from.
 
     Tokens are lower-cased words (A-Z, ASCII white space) and an end; a null or empty text is the
     end alone. base_score is the smoothed unigram log10 probability, score the model's. A bigram is
-    retained if it occurs twice, however large the corpus; with a `min_share`, only if each of its
-    words also makes up that share of the training tokens. Repeated rows count as often as they
+    retained if it occurs twice in the training texts, however large the corpus. Repeated rows count as often as they
     occur. Without training rows all tokens are unknown and have probability one. An empty table
     gives no rows. Columns named like the new ones are replaced.
     """
-    new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    docs = docs.drop(*new, "_block", "_train")
-    columns = docs.columns
-    dealt, blocks = in_blocks(docs.withColumn("_train", F.coalesce(train, F.lit(False))), block_bytes)
-    by_block = dealt.groupBy("_block")
-    # the joins below ask for keys that aren't null; asking here too keeps all uses of a shuffle alike, so that it is written once
-    counts = by_block.applyInArrow(_word_counts, "_block int, word long, n long").filter("word IS NOT NULL")
+    docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score", "_block", "_train", "_size")
+    rest = docs.drop("text")
+    marked = docs.withColumns({"text": F.col("text").cast("string"), "_train": F.coalesce(train, F.lit(False))})
+    states = materialise(marked.mapInArrow(_states([*rest.columns, "_train"], block_bytes), STATE), "blocks")
+    blocks = max(1, states.count())
+    by_block, buckets = states.groupBy("_block"), 2 * blocks
+    counts = states.select("_block", "words").mapInArrow(_word_counts, "_block long, word long, n long").filter("word IS NOT NULL")
     same = Window.partitionBy("word")  # a row per block at most
-    words = counts.withColumns({"_c": F.sum("n").over(same), "_first": F.min("_block").over(same) == F.col("_block")})
-    once = F.col("_first") & (F.col("word") != SIGNED(BEGIN)) & (F.col("_c") > 0)
-    totals = words.agg(F.coalesce(F.sum(F.when(once, F.col("_c"))), F.lit(0)).alias("x"), F.count(F.when(once, 1)).alias("y"))
-    zero = F.lit(0).cast("long")
-    to_blocks = totals.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), F.lit(TOTALS).alias("kind"), zero.alias("k1"), zero.alias("k2"), "x", "y")
-    known = words.select("_block", F.lit(WORD).alias("kind"), F.col("word").alias("k1"), zero.alias("k2"), F.col("_c").alias("x"), zero.alias("y")).unionByName(to_blocks)
-    pairs = by_block.cogroup(known.groupBy("_block")).applyInArrow(_bigram_counts(min_share), "_block int, v long, w long, n long").filter("v IS NOT NULL")
-    pair = Window.partitionBy("v", "w")
-    retained = pairs.withColumns({"_c": F.sum("n").over(pair), "_first": F.min("_block").over(pair) == F.col("_block")}).filter("_c >= 2")
-    contexts = retained.filter("_first").groupBy("v").agg(F.sum("_c").alias("x"), F.count(F.lit(1)).alias("y"))
-    at_blocks = words.filter("_c > 0").select("_block", "word").join(contexts, F.col("word") == F.col("v"))
-    everything = known.unionByName(retained.select("_block", F.lit(BIGRAM).alias("kind"), F.col("v").alias("k1"), F.col("w").alias("k2"), F.col("_c").alias("x"), zero.alias("y"))).unionByName(
-        at_blocks.select("_block", F.lit(CONTEXT).alias("kind"), F.col("v").alias("k1"), zero.alias("k2"), "x", "y")
-    )
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    joined = by_block.cogroup(everything.groupBy("_block"))
-    return joined.applyInArrow(_with_rows(_score(columns, discount), docs), f"{schema}, {OUT}")
-
-
-def _with_rows(run: Callable[[pa.Table, pa.Table], pa.Table], docs: DataFrame) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """A block without documents, as in an empty table, gives no rows."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    fields = StructType.fromDDL(OUT)
-    empty = to_arrow_schema(StructType([*docs.schema.fields, *fields.fields])).empty_table()
-    return lambda block, known: run(block, known) if block.num_rows else empty
+    words = counts.withColumns({"c": F.sum("n").over(same), "_blocks": F.count(F.lit(1)).over(same), "_first": F.min("_block").over(same) == F.col("_block")}).filter("c > 0")
+    once = F.col("_first") & (F.col("word") != SIGNED(BEGIN))
+    total, distinct = F.coalesce(F.sum(F.when(once, F.col("c"))), F.lit(0)), F.count(F.when(once, 1))
+    totals = words.agg(F.struct(total.alias("total"), distinct.alias("distinct")).alias("t"))
+    shared = words.filter("_blocks > 1").select("_block", "word", "c", "_first")
+    bits = max(1, (blocks - 1).bit_length())
+    top = F.shiftrightunsigned("word", 64 - bits)  # numbers go by hash: by its upper bits, then by the others
+    numbers = ranked(shared.filter(F.col("_first") & (F.col("c") >= LEAST)).select("word"), [], top, ["word"], 1 << bits).select("word", F.col("_rank").alias("id"))
+    numbers = materialise(numbers, "numbers")
+    known = shared.drop("_first").join(numbers, "word", "left")
+    runs = by_block.cogroup(known.groupBy("_block")).applyInArrow(_pair_runs(buckets), RUNS).filter("bucket IS NOT NULL").groupBy("bucket")
+    answers = runs.applyInArrow(_answers, ANSWERS)
+    contexts = runs.applyInArrow(_contexts, CONTEXTS).groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    of_word = numbers.join(contexts, F.col("id") == F.col("v"), "left").select("word", "id", "x", "y")
+    told = shared.drop("_first").join(of_word, "word", "left")
+    to_blocks = states.select("_block", totals.scalar().alias("t")).select("_block", "t.total", "t.distinct")
+    everything = told.unionByName(answers, allowMissingColumns=True).unionByName(to_blocks, allowMissingColumns=True)
+    fields = "".join(f"`{n}` {t}, " for n, t in rest.dtypes)
+    return by_block.cogroup(everything.groupBy("_block")).applyInArrow(_score(rest.columns, buckets, discount), fields + OUT)
