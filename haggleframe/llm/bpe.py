@@ -1,18 +1,25 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
-All distinct pre-tokens of a batch are laid end to end in one linked list whose links stop at
-pre-token borders. A bucket per merge rank holds list positions; a bitmap of bitmaps says which
-buckets have entries, and find-first-set picks the lowest rank. A bucket is merged at once with
-numpy; entries whose pair has changed since they were queued are stale and skipped. The cost of a
-pre-token is linear in its merges, whatever its length.
+A bucket per merge rank holds positions of a linked list; a bitmap of bitmaps says which
+buckets have entries, and find-first-set picks the lowest rank. Entries whose pair has changed
+since they were queued are stale and skipped.
+
+A long pre-token has a list of its own and merges a position at a time, the leftmost of the lowest rank,
+so its cost is linear in its merges but for the buckets' heaps. The distinct short pre-tokens of a batch
+are laid end to end in one linked list whose links stop at pre-token borders, and a bucket is
+merged at once with numpy.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import heapq
+import itertools
 import json
 import unicodedata
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -21,6 +28,8 @@ WHITE_SPACE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, 0x2000, 0
 #: Endings that the split pattern cuts off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
+#: Pre-tokens of more bytes merge one position at a time.
+LONG = 128
 
 
 @functools.cache
@@ -174,6 +183,77 @@ class Vocabulary:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words in order, and how many each word has."""
+        long = {i: self.encode_long(w) for i, w in enumerate(words) if len(w) > LONG}
+        if not long:
+            return self.encode_short(words)
+        flat, sizes = self.encode_short([b"" if i in long else w for i, w in enumerate(words)])
+        parts, done = [], 0
+        starts = np.cumsum(sizes) - sizes
+        for i, ids in long.items():
+            parts += [flat[done : starts[i]], ids]
+            done = starts[i]
+            sizes[i] = len(ids)
+        return np.concatenate([*parts, flat[done:]]), sizes
+
+    def encode_long(self, word: bytes) -> np.ndarray:
+        """Token ids of one pre-token of any length."""
+        n = len(word)
+        start = self.of_byte[np.frombuffer(word, np.uint8)]
+        ranks = self.pair_ranks(start[:-1], start[1:])
+        buckets: dict[int, list[int]] = {}
+        queue = RankBitmap(self.n_ranks)
+        waiting = np.flatnonzero(ranks >= 0)
+        order = waiting[np.argsort(ranks[waiting], kind="stable")]
+        for group in np.split(order, np.flatnonzero(np.diff(ranks[order])) + 1) if len(order) else ():
+            buckets[r := int(ranks[group[0]])] = group.tolist()  # ascending positions are a heap
+            queue.add(r)
+        token, rank = array("i", start.astype(np.int32).tobytes()), array("i", np.append(ranks, -1).astype(np.int32).tobytes())
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        after[n - 1] = -1
+        pair_rank, merged = self.rank_of_pair, self.merged
+
+        def queued(at: int) -> None:
+            rank[at] = r = pair_rank(token[at], token[after[at]])
+            if r >= 0:
+                if bucket := buckets.get(r):
+                    heapq.heappush(bucket, at)
+                else:
+                    buckets[r] = [at]
+                    queue.add(r)
+
+        while (r := queue.first()) >= 0:
+            bucket, to = buckets[r], int(merged[r])
+            while bucket:
+                at = heapq.heappop(bucket)
+                if rank[at] != r:
+                    continue
+                gone = after[at]
+                beyond = after[gone]
+                token[at], token[gone], rank[gone], rank[at] = to, -1, -1, -1
+                after[at] = beyond
+                if beyond >= 0:
+                    before[beyond] = at
+                    queued(at)
+                if before[at] >= 0:
+                    queued(before[at])
+                if queue.first() != r:  # a lower rank has turned up
+                    break
+            if not bucket:
+                queue.discard(r)
+        out = np.frombuffer(token, np.int32)
+        return out[out >= 0]
+
+    def rank_of_pair(self, left: int, right: int) -> int:
+        """Rank of a pair, -1 if it doesn't merge."""
+        return self.rank_table.get(left << 20 | right, -1)
+
+    @functools.cached_property
+    def rank_table(self) -> dict[int, int]:
+        """The ranks by pair; made for the first long pre-token."""
+        return dict(zip(self.keys.tolist(), self.key_ranks.tolist()))
+
+    def encode_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of bounded length, all at once."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         token = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         n = len(token)
@@ -254,16 +334,29 @@ class _Numbers(dict):
         return n
 
 
-def encode_texts(vocabulary: Vocabulary, groups: list[list[str]]):
-    """Yield (ids, counts per text) for each group of texts; distinct pre-tokens of all groups are encoded once."""
-    numbers, seen = _Numbers(), []
-    for texts in groups:
-        pieces, counts = pre_tokens(texts)
-        seen.append((np.fromiter(map(numbers.__getitem__, pieces), np.int32, len(pieces)), counts))
-    flat, sizes = vocabulary.encode([k.encode() for k in numbers])
-    starts = np.cumsum(sizes) - sizes
-    del numbers
-    for piece, counts in seen:
-        total = np.append(0, np.cumsum(sizes[piece]))
-        cuts = np.append(0, np.cumsum(counts))
-        yield gather(flat, starts[piece], sizes[piece]), np.diff(total[cuts])
+class Encoder:
+    """Encodes texts and remembers the ids of pre-tokens, at most about `remembered` of them."""
+
+    def __init__(self, vocabulary: Vocabulary, remembered: int = 1 << 17) -> None:
+        self.vocabulary, self.remembered = vocabulary, remembered
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.flat, self.sizes = _Numbers(), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def encode(self, groups: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, counts per text) for each group of texts; new distinct pre-tokens of all groups are encoded together."""
+        if len(self.numbers) > self.remembered:
+            self.forget()
+        known, seen = len(self.numbers), []
+        for texts in groups:
+            pieces, counts = pre_tokens(texts)
+            seen.append((np.fromiter(map(self.numbers.__getitem__, pieces), np.int32, len(pieces)), counts))
+            del pieces
+        flat, sizes = self.vocabulary.encode([k.encode() for k in itertools.islice(self.numbers, known, None)])
+        self.flat, self.sizes = np.concatenate((self.flat, flat)), np.concatenate((self.sizes, sizes))
+        starts = np.cumsum(self.sizes) - self.sizes
+        for piece, counts in seen:
+            total = np.append(0, np.cumsum(self.sizes[piece]))
+            cuts = np.append(0, np.cumsum(counts))
+            yield gather(self.flat, starts[piece], self.sizes[piece]), np.diff(total[cuts])

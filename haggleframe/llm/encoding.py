@@ -15,7 +15,7 @@ from haggleframe.llm import bpe
 from haggleframe.llm.common import text_batches
 
 #: Text that is encoded together, and text that one numpy step sees.
-UNIT, STEP = 16 << 20, 1 << 20
+UNIT, STEP = 4 << 20, 1 << 20
 
 
 @functools.lru_cache(maxsize=2)
@@ -26,11 +26,11 @@ def vocabulary(path: str) -> bpe.Vocabulary:
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the ids of their texts and the count of each text; a null text is empty."""
-    v = vocabulary(path)
+    encoder = bpe.Encoder(vocabulary(path))
     for unit in text_batches(batches, limit=UNIT):
         steps = list(text_batches(iter([unit]), limit=STEP))
         groups = [[t or "" for t in s.column("text").to_pylist()] for s in steps]
-        for step, (ids, counts) in zip(steps, bpe.encode_texts(v, groups)):
+        for step, (ids, counts) in zip(steps, encoder.encode(groups)):
             yield step, ids, counts
 
 
