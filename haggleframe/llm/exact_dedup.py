@@ -1,7 +1,8 @@
 """Exact deduplication against a persistent digest index, with DataFrame operations only.
 
-The index is a table in the warehouse, bucketed and sorted by digest, so the sort-merge anti-join
-of new data against it shuffles and sorts the new digests alone. Survivors are appended.
+The index is a table in the warehouse, bucketed and sorted by digest. New data comes in batches: a
+sort-merge anti-join drops the digests that the index has, and the others are appended. The index is
+not shuffled for it, only the new digests are; each bucket's sorted runs are merged by a sort in its task.
 """
 
 from __future__ import annotations
@@ -10,9 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from haggleframe.llm.common import SPACES, materialise
+from haggleframe.llm.common import SPACES, free_name, materialise
 
 
 def text_sha256(text: F.Column) -> F.Column:
@@ -21,32 +21,32 @@ def text_sha256(text: F.Column) -> F.Column:
 
 
 class DigestIndex:
-    """Digests seen so far: (digest, keep_id, group_size), one row for each digest of each batch.
+    """Digests seen so far: (digest, keep_id, batch), one row for each digest.
 
-    A digest's `keep_id` is the doc_id that stayed when it was first seen; later batches don't change it.
+    A digest's `keep_id` is the doc_id that stayed when it was first seen, in `batch`; later batches don't change it.
     """
 
     def __init__(self, spark: SparkSession, table: str, buckets: int | None = None) -> None:
         self.spark, self.table = spark, table
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if not spark.catalog.tableExists(table):
+            self._write(spark.createDataFrame([], "digest binary, keep_id long, batch string"))
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+    def _write(self, rows: DataFrame) -> None:
+        rows.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.table)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, groups: DataFrame) -> None:
-        """Add groups of new digests; the first call creates the table."""
-        new = groups.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest")
-        new.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.table)
-
     def unseen(self, groups: DataFrame) -> DataFrame:
         """The groups whose digest the index lacks: a sort-merge anti-join on the index's own buckets."""
-        if not self.exists():
-            return groups
         return groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
+    def add(self, groups: DataFrame, batch: str) -> None:
+        """Append the unseen ones of (digest, keep_id), one row a digest. What a failed call for the batch has appended is there, so it may be repeated."""
+        new = self.unseen(groups.select("digest", "keep_id")).withColumn("batch", F.lit(batch))
+        self._write(new.repartition(self.buckets, "digest"))
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
@@ -55,57 +55,66 @@ def _digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_sha256(F.col("text").cast("string")).alias("digest"))
 
 
-def _groups(digests: DataFrame) -> DataFrame:
-    return digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+def _least(*more: str) -> F.Column:
+    """The least doc_id, nulls coming after all numbers, with the other columns of its row."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *more))
+
 
+def _decide(digests: DataFrame, index: DigestIndex, batch: str, batches: int) -> DataFrame:
+    """Let the index decide on all rows, in `batches` parts of ascending doc_ids: (digest, keep_id, batch) of their digests."""
+    shares = [i / batches for i in range(1, batches)]
+    bounds = sorted(set(digests.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] or [])) if shares else []
+    number = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.coalesce("doc_id", F.lit((1 << 63) - 1)))) if bounds else F.lit(0)
+    parts = digests.withColumn("_part", number)
+    for i in range(len(bounds) + 1):
+        groups = parts.filter(F.col("_part") == i).groupBy("digest").agg(_least().alias("k")).select("digest", F.col("k.doc_id").alias("keep_id"))
+        index.add(groups, f"{batch}/{i}")
+    return index.read()
 
-def classify(docs: DataFrame, index: DigestIndex, hot_share: int = 1000) -> DataFrame:
+
+def classify(docs: DataFrame, index: DigestIndex, batch: str | None = None, batches: int = 3, hot_share: int = 1000) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row; new digests go into the index.
 
-    group_size counts the rows of this batch. Equal texts keep the smallest doc_id; if an earlier
-    batch had the text, its keep_id stands and no row of this batch stays. Null doc_ids come after
-    all numbers; a group of nulls alone keeps a null keep_id and stays. Rows that repeat both doc_id
-    and text are one document twice: exactly one of them is marked as kept. Null texts count as empty.
+    The rows go through the index in `batches` parts of ascending doc_ids (nulls last), so the index decides on each digest by
+    its anti-join, and the first part that has a text has its smallest doc_id. group_size counts the rows of this call. If an earlier
+    call had the text, its keep_id stands and no row of this call stays. A call that is repeated under its
+    `batch` name gives its result again, also if it failed half-way. A group of null doc_ids alone keeps a null keep_id and stays. Rows that repeat both doc_id
+    and text are one document twice: exactly one of them is marked as kept. Null texts count as empty; an empty table gives no rows.
 
     Groups with over 1/hot_share of the rows, so fewer than hot_share, join by broadcast: no key
     brings more than that share of the rows to one task.
     """
-    digests = materialise(_digests(docs), "digests")
-    groups = materialise(_groups(digests), "groups")
-    fresh = materialise(index.unseen(groups), "fresh") if index.exists() else groups
-    index.append(fresh)
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
-    known = index.read().groupBy("digest").agg(F.min("keep_id").alias("keep_id"))
-    is_fresh = fresh.select("digest", F.lit(True).alias("_fresh"))
-    hot = groups.filter(F.col("group_size") * hot_share > total)
-    few = materialise(hot.join(known, "digest", "left_semi").drop("keep_id").join(known, "digest").join(is_fresh, "digest", "left"), "hot")
+    batch = batch or uuid.uuid4().hex
+    digests = materialise(_digests(docs).withColumn("_row", F.monotonically_increasing_id()), "digests")
+    known = _decide(digests, index, batch, batches)
+    groups = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), _least("_row").alias("k"))
+    own = F.when(F.col("batch").startswith(batch + "/"), F.col("k._row"))
+    verdicts = materialise(groups.join(known, "digest").select("digest", "group_size", "keep_id", own.alias("_kept")), "verdicts")
+    total = verdicts.agg(F.sum("group_size")).first()[0] or 0
+    is_hot = F.col("group_size") * hot_share > total
+    few = verdicts.filter(is_hot)
     hot_rows = digests.join(F.broadcast(few), "digest")
-    rest = groups.filter(F.col("group_size") * hot_share <= total).drop("keep_id").join(known, "digest").join(is_fresh, "digest", "left")
-    cold_rows = digests.join(F.broadcast(few.select("digest")), "digest", "left_anti").join(rest, "digest")
+    cold_rows = digests.join(F.broadcast(few.select("digest")), "digest", "left_anti").join(verdicts.filter(~is_hot), "digest")
     rows = hot_rows.unionByName(cold_rows)
-    stays = F.col("_fresh").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # repeats of one document differ in nothing, so any of them may be the one that stays
-    once = F.row_number().over(Window.partitionBy("digest").orderBy(F.lit(1)))
-    kept = rows.filter(stays).withColumn("kept", once == 1)
-    out = kept.unionByName(rows.filter(~stays).withColumn("kept", F.lit(False)))
-    return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.coalesce(F.col("_row") == F.col("_kept"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def fresh_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex(spark, f"haggleframe_digests_{uuid.uuid4().hex}")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None, batches: int = 3) -> DataFrame:
     """The rows that stay, with all their columns; rules as in `classify`. Without an index, a new one is made.
 
     Of rows that repeat doc_id and text, which one stays (and so the other columns' values) is arbitrary.
     """
-    index = index or fresh_index(docs.sparkSession)
-    digests = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_sha256(F.col("text").cast("string")).alias("digest"))
-    fresh = materialise(index.unseen(_groups(digests)), "fresh")
-    index.append(fresh)
-    marked = docs.withColumn("_digest", text_sha256(F.col("text").cast("string")))
-    keep = fresh.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    same = marked.join(keep, (marked["_digest"] == keep["_digest"]) & marked["doc_id"].cast("long").eqNullSafe(keep["_keep"])).drop(keep["_digest"])
-    one = F.row_number().over(Window.partitionBy("_digest").orderBy(F.lit(1)))
-    return same.withColumn("_one", one).filter("_one = 1").select(*docs.columns)
+    index, batch = index or fresh_index(docs.sparkSession), batch or uuid.uuid4().hex
+    digests = materialise(_digests(docs), "digests")
+    fresh = _decide(digests, index, batch, batches).filter(F.col("batch").startswith(batch + "/"))
+    digest, keep, many = (free_name(docs, n) for n in ("digest", "keep", "many"))
+    same = digests.join(fresh, (digests["digest"] == fresh["digest"]) & digests["doc_id"].eqNullSafe(fresh["keep_id"])).groupBy(fresh["digest"].alias(digest)).agg(F.first("keep_id").alias(keep), (F.count(F.lit(1)) > 1).alias(many))
+    marked = docs.withColumn(digest, text_sha256(F.col("text").cast("string")))
+    found = marked.join(same, digest).filter(F.col("doc_id").cast("long").eqNullSafe(F.col(keep)))
+    once = found.filter(~F.col(many)).select(*docs.columns)
+    repeated = found.filter(many).groupBy(digest).agg(F.first(F.struct(*docs.columns)).alias(keep))  # combined in each task first
+    return once.unionByName(repeated.select(f"{keep}.*"))
