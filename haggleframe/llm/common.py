@@ -27,6 +27,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like `materialise`, but what later joins or groups by `key` needn't shuffle the table. Nor does the writing."""
+    spark = df.sparkSession
+    table = f"haggleframe_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", f"{shared_dir(spark)}/haggleframe/{table}").bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -83,6 +92,19 @@ def unpacked(payloads: pa.ChunkedArray, schema: pa.Schema | None = None) -> pa.T
     return pa.concat_tables(parts) if parts else schema.empty_table()
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, hot_share: int = 1000) -> DataFrame:
+    """Inner join with a table that has one row for each key, and in `n` how many rows share it; `n` stays.
+
+    Keys of over 1/hot_share of all rows, so fewer than hot_share, join by broadcast: no key brings
+    more than that share of the rows to one task. Both tables are read twice and should be materialised.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) * hot_share > total
+    few = groups.filter(is_hot)
+    cold = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(groups.filter(~is_hot), keys)
+    return rows.join(F.broadcast(few), keys).unionByName(cold)
+
+
 def in_blocks(docs: DataFrame, target: int, buffered: int = 32 << 20) -> tuple[DataFrame, int, pa.Schema]:
     """(_block, payload), how many blocks there are, and the schema of what is packed: the rows of `docs` dealt to
     blocks of about `target` bytes of text.

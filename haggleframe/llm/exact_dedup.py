@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haggleframe.llm.common import SPACES, free_name, materialise
+from haggleframe.llm.common import SPACES, free_name, join_groups, materialise
 
 
 def text_sha256(text: F.Column) -> F.Column:
@@ -90,12 +90,7 @@ def classify(docs: DataFrame, index: DigestIndex, batch: str | None = None, batc
     groups = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), _least("_row").alias("k"))
     own = F.when(F.col("batch").startswith(batch + "/"), F.col("k._row"))
     verdicts = materialise(groups.join(known, "digest").select("digest", "group_size", "keep_id", own.alias("_kept")), "verdicts")
-    total = verdicts.agg(F.sum("group_size")).first()[0] or 0
-    is_hot = F.col("group_size") * hot_share > total
-    few = verdicts.filter(is_hot)
-    hot_rows = digests.join(F.broadcast(few), "digest")
-    cold_rows = digests.join(F.broadcast(few.select("digest")), "digest", "left_anti").join(verdicts.filter(~is_hot), "digest")
-    rows = hot_rows.unionByName(cold_rows)
+    rows = join_groups(digests, verdicts, ["digest"], "group_size", hot_share)
     return rows.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.coalesce(F.col("_row") == F.col("_kept"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

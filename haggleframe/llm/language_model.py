@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from haggleframe.llm.common import materialise, packed, ranked, text_batches, unpacked
+from haggleframe.llm.common import materialise_bucketed, packed, ranked, text_batches, unpacked
 
 #: Words are known by the XXH64 of their bytes; these stand for the end of a text and for what comes before its first word.
 END, BEGIN = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" begin")
@@ -226,21 +226,29 @@ class Automaton:
         at = number(v)
         of = counts[at].astype(float)
         weight[at] = (of - kept + discount * n) / of
-        self.fail = np.log10(weight).tolist()
+        self.fail = np.log10(weight)
         v, w, n = bigrams
         a, b = number(v), number(w)
         chance = (n - discount) / counts[a] + weight[a] * base[b]
-        self.arcs = dict(zip((a * len(words) + b).tolist(), np.log10(chance).tolist()))
+        key = a * len(words) + b
+        order = np.argsort(key)
+        self.arcs, self.weights = key[order], np.log10(chance)[order]
         self.begin = int(number(np.uint64(BEGIN)))
 
-    def run(self, tokens: list[int], root: list[float]) -> float:
-        """log10 probability of the token numbers, read once from left to right."""
-        arcs, fail, n = self.arcs.get, self.fail, len(self.words)
-        state, total = self.begin, 0.0
-        for w, base in zip(tokens, root):
-            arc = arcs(state * n + w)
-            total += fail[state] + base if arc is None else arc
-            state = w
+    def steps(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """log10 probability of each token in each state: the arc's, or the failure arc's and then the root's."""
+        key = states.astype(np.int64) * len(self.words) + tokens
+        at = np.minimum(np.searchsorted(self.arcs, key), max(0, len(self.arcs) - 1))
+        backed_off = self.fail[states] + self.root[tokens]
+        return np.where(self.arcs[at] == key, self.weights[at], backed_off) if len(self.arcs) else backed_off
+
+    def run(self, tokens: np.ndarray) -> float:
+        """log10 probability of the token numbers, read once from left to right: a token leads to its own state."""
+        total, state = 0.0, self.begin
+        for a in range(0, len(tokens), 1 << 16):
+            part = tokens[a : a + (1 << 16)]
+            total += float(self.steps(np.append(state, part[:-1]), part).sum())
+            state = part[-1]
         return total
 
 
@@ -276,9 +284,8 @@ def _score(columns: list[str], buckets: int, discount: float) -> Callable[[pa.Ta
         score, base_score, n_known = [], [], []
         for a, b in zip(cuts, cuts[1:]):
             number = tokens[a:b]
-            root = automaton.root[number]
-            score.append(automaton.run(number.tolist(), root.tolist()))
-            base_score.append(float(root.sum()))
+            score.append(automaton.run(number))
+            base_score.append(float(automaton.root[number].sum()))
             n_known.append(int(is_known[number].sum()))
         out = {c: docs[c] for c in columns}
         return pa.table(out | {"n_tokens": pa.array(sizes), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(sizes), pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(score, pa.float64())})
@@ -298,7 +305,7 @@ def score(docs: DataFrame, train: Column, discount: float = 0.75, block_bytes: i
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score", "_block", "_train", "_size")
     rest = docs.drop("text")
     marked = docs.withColumns({"text": F.col("text").cast("string"), "_train": F.coalesce(train, F.lit(False))})
-    states = materialise(marked.mapInArrow(_states([*rest.columns, "_train"], block_bytes), STATE), "blocks")
+    states = materialise_bucketed(marked.mapInArrow(_states([*rest.columns, "_train"], block_bytes), STATE), "blocks", "_block")
     blocks = max(1, states.count())
     by_block, buckets = states.groupBy("_block"), 2 * blocks
     counts = states.select("_block", "words").mapInArrow(_word_counts, "_block long, word long, n long").filter("word IS NOT NULL")
@@ -311,7 +318,6 @@ def score(docs: DataFrame, train: Column, discount: float = 0.75, block_bytes: i
     bits = max(1, (blocks - 1).bit_length())
     top = F.shiftrightunsigned("word", 64 - bits)  # numbers go by hash: by its upper bits, then by the others
     numbers = ranked(shared.filter(F.col("_first") & (F.col("c") >= LEAST)).select("word"), [], top, ["word"], 1 << bits).select("word", F.col("_rank").alias("id"))
-    numbers = materialise(numbers, "numbers")
     known = shared.drop("_first").join(numbers, "word", "left")
     runs = by_block.cogroup(known.groupBy("_block")).applyInArrow(_pair_runs(buckets), RUNS).filter("bucket IS NOT NULL").groupBy("bucket")
     answers = runs.applyInArrow(_answers, ANSWERS)

@@ -1,13 +1,12 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has `segments` segments. Two fingerprints at distance `reach` or less are at
+A fingerprint of 64 or 128 bits has `segments` segments. Two fingerprints at distance `reach` or less are at
 distance reach // segments or less in one of them. Small Hamming balls around that segment's
 value are enumerated from both sides, half the distance each, and fingerprints whose balls meet
 are candidates of one table entry; complete distances decide.
 
-An entry is resolved to spanning links, never to all its pairs: a pivot claims what it links to,
-and claimed groups are compared only while they are apart and near enough. Large entries are cut
-into blocks, and every pair of blocks is resolved by its own task.
+An entry is resolved to spanning links, never to all its pairs: whatever is apart is linked by its
+closest pair. Large entries are cut into blocks, and every pair of blocks is resolved by its own task.
 """
 
 from __future__ import annotations
@@ -20,40 +19,52 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haggleframe.llm.common import materialise, text_batches
+from haggleframe.llm.common import free_name, join_groups, materialise, text_batches
 from haggleframe.llm.components import components
 
+#: Seeds of the shingles' hashes for each 64 bits of a fingerprint.
+SEEDS = (42, 43)
+#: Entries of more fingerprints are resolved one by one, others together.
+SMALL = 48
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """64 bits as a signed number: a bit is set if over half of the shingles' hashes have it."""
+
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles in order, in arrays of bounded size; fewer words than `shingle` are one shingle, none give nothing."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A-Z only, ASCII white space only
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1).tolist()
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
     k = min(shingle, len(words))
+    starts, stops = (ends - sizes)[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
     h = xxhash.xxh64_intdigest
-    total = np.zeros(64, np.int64)
-    n = len(words) - k + 1
-    stops = (ends[k - 1 :] - 1).tolist()
-    for a in range(0, n, 1 << 16):
-        part = np.array([h(joined[x:y], 42) for x, y in zip(starts[a : a + (1 << 16)], stops[a : a + (1 << 16)])], np.uint64)
+    for a in range(0, len(starts), 1 << 16):
+        part = slice(a, a + (1 << 16))
+        yield np.array([h(joined[x:y], seed) for x, y in zip(starts[part], stops[part])], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """64 bits as a signed number: a bit is set if over half of the shingles' hashes have it."""
+    total, n = np.zeros(64, np.int64), 0
+    for part in shingle_hashes(text, shingle, seed):
         total += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = 2 * total > n
-    return int(np.packbits(bits, bitorder="little").view("<i8")[0])
+        n += len(part)
+    return int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """The given columns and `fp` long. A null, empty or wordless text has fingerprint zero."""
-    docs = docs.drop("fp")
+def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1) -> DataFrame:
+    """The given columns and `fp` long, with 128 bits (`words` 2) also `fp2`. A null, empty or wordless text has fingerprint zero."""
+    names = ["fp", "fp2"][:words]
+    docs = docs.drop("fp", "fp2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_batches(batches, limit=8 << 20):
-            out = [fingerprint(t, shingle) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "fp"])
+        for b in text_batches(batches, limit=4 << 20):
+            texts = b.column("text").to_pylist()
+            out = [pa.array([fingerprint(t, shingle, seed) for t in texts], pa.int64()) for seed in SEEDS[:words]]
+            yield pa.RecordBatch.from_arrays([*b.columns, *out], [*b.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{', '.join(f'`{n}` {t}' for n, t in docs.dtypes)}, fp long")
+    return docs.mapInArrow(run, ", ".join([f"`{n}` {t}" for n, t in docs.dtypes] + [f"{n} long" for n in names]))
 
 
 def _ball(width: int, radius: int) -> list[int]:
@@ -67,92 +78,121 @@ def _ball(width: int, radius: int) -> list[int]:
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y)
-
-
-def spanning_links(values: np.ndarray, reach: int) -> list[tuple[int, int]]:
-    """Links (distance at most `reach`) that connect whatever is connected among the distinct uint64 values."""
-    left = values
-    groups: list[np.ndarray] = []  # a pivot and what it has claimed
-    links: list[tuple[int, int]] = []
-    while len(left):
-        near = _distances(left, left[0]) <= reach
-        own = left[near]
-        links += [(int(own[0]), int(x)) for x in own[1:]]
-        groups.append(own)
-        left = left[~near]
-    root = list(range(len(groups)))
+    """Of fingerprints as rows of one or two uint64."""
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int32)
+
+
+def spanning_links(values: np.ndarray, reach: int) -> list[tuple[int, int, int]]:
+    """(distance, place, place) of links within `reach` that connect whatever is connected among distinct rows; the closest pairs do."""
+    n, with_any = len(values), []
+    for a in range(0, n, 256):
+        near = _distances(values[a : a + 256, None], values[None]) <= reach
+        with_any += (np.flatnonzero(near.sum(1) > 1) + a).tolist()
+    place = np.array(with_any, np.int64)
+    own, out = values[place], []
+    left, best, parent = np.ones(len(own), bool), np.full(len(own), 999, np.int32), np.zeros(len(own), np.int64)
+    for _ in range(len(own)):
+        at = int(np.argmin(np.where(left, best, 1000)))
+        if best[at] <= reach:
+            out.append((int(best[at]), int(place[parent[at]]), int(place[at])))
+        left[at] = False
+        d = _distances(own, own[at])
+        closer = d < best
+        best[closer], parent[closer] = d[closer], at
+    return out
+
+
+def _small_entries(values: np.ndarray, size: np.ndarray, reach: int) -> list[tuple[int, int, int]]:
+    """The same for many small entries at once; `size` counts a row and those after it in its entry."""
+    found = []
+    for step in range(1, int(size.max(initial=1))):
+        a = np.flatnonzero(size > step)
+        d = _distances(values[a], values[a + step])
+        near = d <= reach
+        found += zip(d[near].tolist(), a[near].tolist(), (a[near] + step).tolist())
+    root: dict[int, int] = {}
 
     def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+        while (up := root.get(i, i)) != i:
+            root[i] = root.get(up, up)
+            i = up
         return i
 
-    pivots = np.array([g[0] for g in groups], np.uint64)
-    for i, g in enumerate(groups):
-        # members are within `reach` of their pivots, so farther pivots can't have linked members
-        for j in (np.flatnonzero(_distances(pivots[i + 1 :], pivots[i]) <= 3 * reach) + i + 1).tolist():
-            if find(i) == find(j):
-                continue
-            small, large = (g, groups[j]) if len(g) < len(groups[j]) else (groups[j], g)
-            for x in small:
-                at = np.flatnonzero(_distances(large, x) <= reach)
-                if len(at):
-                    links.append((int(x), int(large[at[0]])))
-                    root[find(i)] = find(j)
-                    break
-    return links
+    out = []
+    for d, a, b in sorted(found):
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            out.append((d, a, b))
+    return out
 
 
 def links(prints: DataFrame, reach: int = 4, segments: int = 2, block: int = 20_000) -> DataFrame:
-    """Links (a, b) between distinct fingerprints `fp`, enough to connect all that are connected.
+    """Links (a, b), of 128 bits (a, a2, b, b2), between distinct fingerprints `fp` (and `fp2`) that connect all that are connected.
 
-    `segments` is 2, or 3 and more with smaller balls for smaller corpora: entries then hold about
-    rows / 2^(64 / segments) unrelated fingerprints each.
+    Segments are of equal width up to one bit. An entry holds about rows x ball / 2^width unrelated fingerprints, so
+    the wider the segments are, the larger the corpus may be. Complete if reach < segments x (2 x radius + 1), where radius is
+    half of reach // segments, at most 1: with a larger reach, farther pairs are found if one of their segments is close enough.
     """
-    width = [64 // segments + (i < 64 % segments) for i in range(segments)]
+    names = [c for c in ("fp", "fp2") if c in prints.columns]
+    bits = 64 * len(names)
+    width = [bits // segments + (i < bits % segments) for i in range(segments)]
     shift = [sum(width[:i]) for i in range(segments)]
-    radius = -(-(reach // segments) // 2)  # of each side's ball
-    masks = [(i, m << s if m << s < 1 << 63 else (m << s) - (1 << 64)) for i, (w, s) in enumerate(zip(width, shift)) for m in _ball(w, radius)]
-    take = [((1 << w) - 1) << s for w, s in zip(width, shift)]
-    take = [t if t < 1 << 63 else t - (1 << 64) for t in take]
-    flips = F.array(*[F.struct(F.lit(i).cast("byte").alias("s"), F.lit(m).cast("long").alias("m"), F.lit(take[i]).cast("long").alias("t")) for i, m in masks])
-    table = prints.select("fp", F.explode(flips).alias("x")).select("fp", F.col("x.s").alias("seg"), F.col("fp").bitwiseXOR(F.col("x.m")).bitwiseAND(F.col("x.t")).alias("key"))
-    big = materialise(table.groupBy("seg", "key").count().filter(F.col("count") > block).select("seg", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "entries")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    pairs = F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(others)).alias("p")
-    dealt = table.join(big, ["seg", "key"], "left").select("fp", "seg", "key", pairs).select("fp", "seg", "key", "p.i", "p.j")
-    by_entry = dealt.repartition("seg", "key", "i", "j").sortWithinPartitions("seg", "key", "i", "j")
+    radius = min(1, -(-(reach // segments) // 2))  # of each side's ball
+
+    def segment(i: int) -> F.Column:
+        """Bits of the fingerprint from shift[i] on, with the segment's number above them."""
+        word, low, w = shift[i] // 64, shift[i] % 64, width[i]
+        value = F.shiftrightunsigned(names[word], low)
+        if low + w > 64:
+            value = value.bitwiseOR(F.shiftleft(names[word + 1], 64 - low))
+        return value.bitwiseAND(F.lit((1 << w) - 1)).bitwiseOR(F.lit(i << max(width)))
+
+    balls = [_ball(w, radius) for w in width]
+    base = prints.select(F.explode(F.array(*[segment(i) for i in range(segments)])).alias("key"))
+    # an entry is large only if a value in its ball is that frequent; the others add a block at most
+    often = base.groupBy("key").count().filter(F.col("count") * len(balls[0]) > block)
+    masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in b]) for b in balls])
+    around = often.select(F.explode(F.transform(masks[F.shiftright("key", max(width)).cast("int")], lambda m: m.bitwiseXOR(F.col("key")))).alias("key"), "count")
+    big = materialise(around.groupBy("key").agg((F.ceil(F.sum("count") / block) + 1).cast("int").alias("blocks")), "entries")
+
+    def around_segment(i: int) -> F.Column:
+        return F.transform(masks[i], lambda m: m.bitwiseXOR(segment(i)))
+
+    keys = F.flatten(F.array(*map(around_segment, range(segments))))
+    table = prints.select(*names, F.explode(keys).alias("key"))
+    own = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("long")
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.shiftleft(F.least(own, o), 32).bitwiseOR(F.greatest(own, o)))
+    pairs = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)).alias("part")
+    dealt = table.join(big, "key", "left").select(*names, "key", pairs)
+    by_entry = dealt.repartition("key", "part").sortWithinPartitions("key", "part")
+    out = [f"{x}{i or ''}" for x in "ab" for i in (0, 2)[: len(names)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        current = None
-
-        def out(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.uint64()).view(pa.int64()), pa.array([r[1] for r in rows], pa.uint64()).view(pa.int64())], ["a", "b"])
+        def found(values: np.ndarray, links: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            at = np.array(links, np.int64).reshape(-1, 3)
+            return pa.RecordBatch.from_arrays([pa.array(values[at[:, side], i].view(np.int64)) for side in (1, 2) for i in range(len(names))], out)
 
+        held = np.zeros((0, len(names)), np.uint64)  # the entry that the last batch has ended in
+        last = None
         for b in batches:
-            key = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("seg", "key", "i", "j")])
-            fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            cuts = np.append(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(fp)) if len(fp) else np.zeros(0, int)
-            found, a = [], 0
-            for z in cuts.tolist():
-                name = key[a].tolist()
-                if name != current:
-                    if len(held) and sum(map(len, held)) > 1:
-                        found += spanning_links(np.concatenate(held), reach)
-                    held, current = [], name
-                held.append(fp[a:z])
-                a = z
-            if found:
-                yield out(found)
-        if held and sum(map(len, held)) > 1:
-            yield out(spanning_links(np.concatenate(held), reach))
-
-    return by_entry.mapInArrow(run, "a long, b long").distinct()
+            key = np.column_stack([b.column(c).to_numpy() for c in ("key", "part")])
+            values = np.column_stack([b.column(c).to_numpy().view(np.uint64) for c in names])
+            if not len(key):
+                continue
+            values, key = np.concatenate((held, values)), np.concatenate((np.repeat([last] if last is not None else np.zeros((0, 2), np.int64), len(held), 0), key))
+            head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+            last, held = key[-1], values[head[-1] :]
+            sizes = np.diff(head)  # of the entries that have ended
+            done = values[: head[-1]]
+            for i in np.flatnonzero(sizes > SMALL).tolist():
+                entry = done[head[i] : head[i] + sizes[i]]
+                yield found(entry, spanning_links(entry, reach))
+            after = np.repeat(head[:-1] + sizes, sizes) - np.arange(len(done))
+            yield found(done, _small_entries(done, np.where(np.repeat(sizes, sizes) > SMALL, 1, after), reach))
+        yield found(held, spanning_links(held, reach))
+
+    return by_entry.mapInArrow(run, ", ".join(f"{c} long" for c in out)).distinct()
 
 
 def cluster(docs: DataFrame, reach: int = 4, segments: int = 2, shingle: int = 4) -> DataFrame:
@@ -163,22 +203,56 @@ def cluster(docs: DataFrame, reach: int = 4, segments: int = 2, shingle: int = 4
     numbers: a component of nulls alone has a null component_id. Repeated rows are kept. Only
     doc_id and text are read.
     """
-    rows = materialise(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), shingle).select("doc_id", "fp"), "fingerprints")
-    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = materialise(fingerprints(narrow, shingle).select("doc_id", "fp"), "fingerprints")
+    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "prints")
     joined = components(links(prints.select("fp"), reach, segments))
-    labelled = prints.join(joined, prints["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    labelled = prints.join(joined, prints["fp"] == joined["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = materialise(labelled.join(least, "root").select("fp", "component_id"), "of-print")
-    out = rows.join(of_print, "fp")
+    of_print = materialise(labelled.join(least, "root").select("fp", "n", "component_id"), "of-print")
+    out = join_groups(rows, of_print, ["fp"], "n")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
-def keep_one(docs: DataFrame, reach: int = 4, segments: int = 2, shingle: int = 4) -> DataFrame:
-    """The document with the least doc_id of every component, with all its columns.
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(key, shingles): distinct hashes of each text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_batches(batches, limit=4 << 20):
+            out = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, shingle)])).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.list_(pa.int64()))], ["key", "shingles"])
+
+    return docs.select("key", "text").mapInArrow(run, "key long, shingles array<long>")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, reach: int = 26, segments: int = 6) -> DataFrame:
+    """One document of every group of near-duplicates, that with the least doc_id, with all its columns.
 
-    Rows without doc_id can't be told apart: all of them stay unless their text's component has a number.
-    Of repeated rows with one doc_id, each stays.
+    Documents link if the Jaccard similarity of their sets of `shingle` words is `similarity` or more; groups are what
+    links connect. Candidates are fingerprints of 128 bits within `reach`, of which one of `segments` segments differs by two bits at
+    most; of a pair of similarity 0.8 the search finds nine in ten, of 0.9 almost all. Fingerprints that candidates connect are compared along
+    spanning links, the closest pair first, so no group is expanded into pairs. Texts with equal fingerprints are taken as
+    copies: one is compared for all of them. Texts without words are copies of each other. Null doc_ids
+    rank after all numbers; of rows that share the least doc_id, or of nulls alone, each stays. Repeated rows are kept. An empty table gives no rows.
     """
-    found = cluster(docs, reach, segments, shingle)
-    keep = found.filter("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")), "left_semi").select(*docs.columns)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    rows = materialise(fingerprints(keyed, shingle, 2).select("doc_id", "key", "fp", "fp2"), "fingerprints")
+    prints = materialise(rows.groupBy("fp", "fp2").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "prints")
+    found = links(prints.select("fp", "fp2"), reach, segments)
+    ends = [prints.select(F.col("fp").alias(x), F.col("fp2").alias(f"{x}2"), F.col("key").alias(f"key_{x}")) for x in "ab"]
+    pairs = materialise(found.join(ends[0], ["a", "a2"]).join(ends[1], ["b", "b2"]).select("key_a", "key_b"), "candidates")
+    wanted = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
+    sets = materialise(_sets(keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"]), shingle), "sets")
+    both = pairs.join(sets.toDF("key_a", "x"), "key_a").join(sets.toDF("key_b", "y"), "key_b")
+    common = F.size(F.array_intersect("x", "y"))
+    alike = both.select("key_a", "key_b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")).filter(F.col("c") >= similarity * (F.col("n") - F.col("c")))
+    joined = components(alike.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
+    labelled = prints.join(joined, prints["key"] == joined["node"], "left").withColumn("root", F.coalesce("component", "key"))
+    least = labelled.groupBy("root").agg(F.min("least").alias("keep"), F.sum("n").alias("size"))
+    groups = materialise(labelled.join(least, "root").filter("size > 1").select("fp", "fp2", "n", "keep"), "groups")
+    gone = join_groups(rows, groups, ["fp", "fp2"], "n").filter("keep IS NOT NULL AND NOT doc_id <=> keep").select("doc_id", "key").distinct()
+    doc, key = free_name(docs, "doc"), free_name(docs, "key")
+    marked = docs.withColumn(key, F.xxhash64(text))
+    same = marked["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (marked[key] == F.col(f"{key}_gone"))
+    return marked.join(gone.toDF(doc, f"{key}_gone"), same, "left_anti").select(*docs.columns)

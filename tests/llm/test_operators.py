@@ -337,9 +337,9 @@ def test_states_sum_to_one():
     v = np.array([5, 5], np.uint64)
     a = language_model.Automaton(words, counts, 13, 3, (v, np.array([9, 5], np.uint64), np.array([3, 2])), (v[:1], np.array([5]), np.array([2])), 0.75)
     begin = a.begin
-    base = a.root
     for s in range(len(words)):
-        total = sum(10 ** a.arcs[s * len(words) + w] if s * len(words) + w in a.arcs else 10 ** (a.fail[s] + base[w]) for w in range(len(words)) if w != begin)
+        tokens = np.array([w for w in range(len(words)) if w != begin])
+        total = (10 ** a.steps(np.full(len(tokens), s), tokens)).sum()
         unknown = 10 ** a.fail[s] * 0.5 / (13 + 0.5 * 4)
         assert total + unknown == pytest.approx(1)
 

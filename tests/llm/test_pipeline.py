@@ -30,22 +30,7 @@ def test_stages_in_sequence(spark, tmp_path):
                 groups[" ".join(t.split())].append(i)
             assert set(after) == {min(v) for v in groups.values()}
         elif name == "near":
-            from haggleframe.llm.simhash import fingerprint
-
-            prints = {i: fingerprint(t) & (1 << 64) - 1 for i, t in before.items()}
-            root = {i: i for i in prints}
-
-            def find(x, root=root):
-                while root[x] != x:
-                    x = root[x]
-                return x
-
-            for a in prints:
-                for b in prints:
-                    if a < b and (prints[a] ^ prints[b]).bit_count() <= 4:
-                        x, y = find(a), find(b)
-                        root[max(x, y)] = min(x, y)
-            assert set(after) == {find(i) for i in prints}
+            check_near(before, set(after))
         elif name == "substring":
             from test_operators import brute_windows
 
@@ -55,6 +40,49 @@ def test_stages_in_sequence(spark, tmp_path):
     assert docs.groupBy("sequence_id").agg({"length": "sum"}).agg({"sum(length)": "max"}).first()[0] <= 2048
 
 
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def check_near(before, kept):
+    """What goes is in a group of at least 0.8, whose least document stays; of all pairs of at least 0.85 one goes."""
+    sets = {i: shingles(t) for i, t in before.items()}
+    of = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            of[x].append(i)
+    shared = defaultdict(int)
+    for v in of.values():
+        for n, a in enumerate(v):
+            for b in v[n + 1 :]:
+                shared[min(a, b), max(a, b)] += 1
+    alike = {p: c / (len(sets[p[0]]) + len(sets[p[1]]) - c) for p, c in shared.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), j in alike.items():
+        if j >= 0.8:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    least = {find(i) for i in sets}
+    assert least <= kept
+    close = [p for p, j in alike.items() if j >= 0.8]
+    assert all(not set(p) <= kept for p in close if alike[p] >= 0.85)
+    missed = sum(set(p) <= kept for p in close)
+    assert missed <= max(1, len(close) // 10)
+
+
+def test_near_copies_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
+    check_near({r.doc_id: r.text for r in docs.collect()}, kept)
+
+
 def test_every_operator_is_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
 
