@@ -1,9 +1,9 @@
 """Byte-level convolutional quality classifier in numpy.
 
 Bytes are embedded, one layer of learned filters slides over overlapping chunks of the whole text,
-every filter keeps its largest response over all chunks, and a logistic layer combines these and
-the filters' mean responses into one probability. Chunks overlap by what a filter sees less one stride, so
-the maximum over chunks is the maximum over the text.
+every filter keeps its largest response over all chunks, and a logistic layer combines these
+into one probability. Chunks overlap by what a filter sees less one stride, so
+the maximum over chunks is the maximum over the text. Fitting and scoring see all chunks of a text, one at a time.
 """
 
 from __future__ import annotations
@@ -23,15 +23,14 @@ from haggleframe.llm.common import text_batches
 
 @dataclass(frozen=True)
 class Shape:
-    """width: bytes that a filter sees; sample: labelled rows per label that are fitted, a fixed bound; chunks: of each of them that are fitted, evenly spaced, the scoring sees all; steps: updates at least, a small sample is seen more often."""
+    """width: bytes that a filter sees; sample: labelled rows per label that are fitted, a fixed bound; steps: updates at least, a small sample is seen more often."""
 
     width: int = 8
     stride: int = 2
     embedding: int = 4
-    filters: int = 16
+    filters: int = 32
     chunk: int = 8192
     sample: int = 1500
-    chunks: int = 8
     epochs: int = 12
     steps: int = 900
     seed: int = 7
@@ -46,7 +45,7 @@ class Network:
         self.embed = r.normal(0, 0.5, (256, shape.embedding)).astype(np.float32)
         self.filters = r.normal(0, (shape.width * shape.embedding) ** -0.5, (shape.width * shape.embedding, shape.filters)).astype(np.float32)
         self.bias = np.zeros(shape.filters, np.float32)
-        self.weights = r.normal(0, 0.1, 2 * shape.filters).astype(np.float32)
+        self.weights = r.normal(0, 0.1, shape.filters).astype(np.float32)
         self.offset = np.zeros(1, np.float32)
 
     def windows(self, data: np.ndarray) -> np.ndarray:
@@ -68,15 +67,24 @@ class Network:
         for a in range(0, max(1, len(data) - s.width + s.stride), step):
             yield data[a : a + step + s.width - s.stride]
 
+    def strongest(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest response of every filter over the whole text, and the bytes that gave it."""
+        most, seen = np.full(self.shape.filters, -np.inf, np.float32), np.zeros((self.shape.filters, self.shape.width), np.uint8)
+        for c in self.chunks(data):
+            windows = self.windows(c)
+            out = self.responses(windows)
+            top = out.argmax(0)
+            here = out[top, np.arange(self.shape.filters)]
+            better = here > most
+            most[better], seen[better] = here[better], windows[top[better]]
+        return most, seen
+
     def features(self, data: np.ndarray) -> np.ndarray:
-        """Largest response of every filter over the whole text, and its mean, both squashed."""
-        most, total, n = np.full(self.shape.filters, -np.inf, np.float32), np.zeros(self.shape.filters, np.float64), 0
+        """Largest response of every filter over the whole text, squashed."""
+        most = np.full(self.shape.filters, -np.inf, np.float32)
         for c in self.chunks(data):
-            out = self.responses(self.windows(c))
-            most = np.maximum(most, out.max(0))
-            total += np.maximum(out, 0).sum(0)
-            n += len(out)
-        return np.concatenate((np.tanh(most + self.bias), np.tanh(total / n))).astype(np.float32)
+            most = np.maximum(most, self.responses(self.windows(c)).max(0))
+        return np.tanh(most + self.bias)
 
     def probability(self, data: np.ndarray) -> float:
         z = float(self.features(data) @ self.weights + self.offset[0])
@@ -96,14 +104,22 @@ class Network:
         return net
 
 
+def gradients(net: Network, data: np.ndarray, label: float) -> dict[str, np.ndarray]:
+    """Of the log loss of one text, by parameter; each filter's strongest window carries its gradient."""
+    shape = net.shape
+    most, seen = net.strongest(data)
+    feats = np.tanh(most + net.bias)
+    delta = np.float32(1 / (1 + np.exp(-np.clip(float(feats @ net.weights + net.offset[0]), -30, 30))) - label)
+    back = delta * net.weights * (1 - feats**2)
+    embed = np.zeros_like(net.embed)
+    np.add.at(embed, seen, (net.filters.T * back[:, None]).reshape(shape.filters, shape.width, shape.embedding))
+    return {"embed": embed, "filters": net.embed[seen].reshape(shape.filters, -1).T * back, "bias": back, "weights": delta * feats, "offset": np.array([delta])}
+
+
 def fit(texts: list[bytes], labels: np.ndarray, shape: Shape) -> Network:
-    """Adam on the log loss, both labels weighted by how rare they are up to the square root."""
+    """Adam on the mean log loss of small batches."""
     net, r = Network(shape), np.random.default_rng(shape.seed)
-    data = []
-    for t in texts:
-        own = list(net.chunks(np.frombuffer(t, np.uint8)))
-        picked = [own[i] for i in np.unique(np.linspace(0, len(own) - 1, min(len(own), shape.chunks)).astype(int))]
-        data.append(np.concatenate([net.windows(c) for c in picked]))
+    data = [np.frombuffer(t, np.uint8) for t in texts]
     if not len(labels) or labels.min() == labels.max():
         net.weights[:] = 0
         net.offset[:] = 0 if not len(labels) else 4 * (2 * labels[0] - 1)
@@ -117,27 +133,9 @@ def fit(texts: list[bytes], labels: np.ndarray, shape: Shape) -> Network:
         for at in range(0, len(order), size):
             batch = order[at : at + size]
             grads = {n: np.zeros_like(getattr(net, n)) for n in net.NAMES}
-            f = shape.filters
             for i in batch:
-                w = data[i]
-                seen = net.embed[w].reshape(len(w), -1)
-                out = seen @ net.filters
-                top, on = out.argmax(0), out > 0
-                mean = np.where(on, out, 0).mean(0)
-                feats = np.concatenate((np.tanh(out[top, np.arange(f)] + net.bias), np.tanh(mean)))
-                z = float(feats @ net.weights + net.offset[0])
-                delta = np.float32((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i]) / len(batch))
-                grads["weights"] += delta * feats
-                grads["offset"] += delta
-                back = delta * net.weights * (1 - feats**2)
-                grads["bias"] += back[:f]
-                # through the maxima: one window per filter; through the means: every active window
-                g_out = on * (back[f:] / len(w)).astype(np.float32)
-                g_out[top, np.arange(f)] += back[:f]
-                grads["filters"] += seen.T @ g_out
-                touched = w[top]
-                g_embed = (net.filters.T * back[:f, None]).reshape(f, shape.width, shape.embedding)
-                np.add.at(grads["embed"], touched, g_embed)
+                for n, g in gradients(net, data[i], labels[i]).items():
+                    grads[n] += g / len(batch)
             step += 1
             for n in net.NAMES:
                 m, v = moments[n]
