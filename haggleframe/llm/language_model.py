@@ -60,8 +60,8 @@ def _states(columns: list[str], size: int) -> Callable[[Iterator[pa.RecordBatch]
     """Blocks of about `size` bytes of a task's texts.
 
     docs: the rows without their text, with the number of tokens and whether they are learned from;
-    words: the distinct words by hash, with training counts, BEGIN having the number of training texts;
-    tokens: the place of every token among the words.
+    words: the distinct words, the most frequent first, with training counts, BEGIN having the number of training texts;
+    tokens: the place of every token among the words, by bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,11 +70,15 @@ def _states(columns: list[str], size: int) -> Callable[[Iterator[pa.RecordBatch]
         def out(held: list[pa.RecordBatch], parts: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
             docs = pa.Table.from_batches(held)
             trained, counts = docs["_train"].to_numpy(zero_copy_only=False), np.concatenate(sizes)
-            words, at = np.unique(np.append(np.concatenate(parts), np.uint64(BEGIN)), return_inverse=True)
-            at = at[:-1].astype(np.int32)
+            words, at, often = np.unique(np.append(np.concatenate(parts), np.uint64(BEGIN)), return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent words have small numbers, whose upper bytes take no room
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            at, words = place[at[:-1]], words[order]
             n = np.bincount(at[np.repeat(trained, counts)], minlength=len(words))
-            n[np.searchsorted(words, np.uint64(BEGIN))] = trained.sum()
-            row = [packed(docs.append_column("_size", pa.array(counts))), packed(pa.table({"word": words.view(np.int64), "n": n.astype(np.int32)})), packed(pa.table({"token": at}))]
+            n[words == np.uint64(BEGIN)] = trained.sum()
+            digits = at.astype("<i4").view(np.uint8).reshape(-1, 4)
+            row = [packed(docs.append_column("_size", pa.array(counts))), packed(pa.table({"word": words.view(np.int64), "n": n.astype(np.int32)})), packed(pa.table({f"byte{i}": np.ascontiguousarray(digits[:, i]) for i in range(4)}))]
             return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), *[pa.array([x], pa.binary()) for x in row]], ["_block", "docs", "words", "tokens"])
 
         held, parts, sizes, bytes_held = [], [], [], 0
@@ -109,13 +113,18 @@ class Block:
         """known: corpus-wide counts and numbers of the words that other blocks have, too; these numbers go by hash as well."""
         self.docs, words = unpacked(row["docs"]), unpacked(row["words"])
         self.sizes = self.docs["_size"].to_numpy()
-        self.words = words["word"].to_numpy().view(np.uint64)
-        self.counts = words["n"].to_numpy().astype(np.int64)
-        self.tokens = unpacked(row["tokens"])["token"].to_numpy()
+        order = np.argsort(words["word"].to_numpy().view(np.uint64))
+        self.words = words["word"].to_numpy().view(np.uint64)[order]
+        self.counts = words["n"].to_numpy()[order].astype(np.int64)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        digits = unpacked(row["tokens"])
+        self.tokens = place[np.column_stack([digits[f"byte{i}"].to_numpy() for i in range(4)]).view("<i4")[:, 0]]
         self.begin = int(np.searchsorted(self.words, np.uint64(BEGIN)))
         self.numbers = np.full(len(self.words), -1, np.int64)
         at = np.searchsorted(self.words, known["word"].to_numpy().view(np.uint64))
-        self.counts[at] = known["c"].to_numpy()
+        if "c" in known.column_names:  # the runs need the numbers alone
+            self.counts[at] = known["c"].to_numpy()
         self.numbers[at] = _column(known, "id", -1)
 
     def count_pairs(self) -> None:
@@ -318,7 +327,7 @@ def score(docs: DataFrame, train: Column, discount: float = 0.75, block_bytes: i
     bits = max(1, (blocks - 1).bit_length())
     top = F.shiftrightunsigned("word", 64 - bits)  # numbers go by hash: by its upper bits, then by the others
     numbers = ranked(shared.filter(F.col("_first") & (F.col("c") >= LEAST)).select("word"), [], top, ["word"], 1 << bits).select("word", F.col("_rank").alias("id"))
-    known = shared.drop("_first").join(numbers, "word", "left")
+    known = shared.select("_block", "word").join(numbers, "word")
     runs = by_block.cogroup(known.groupBy("_block")).applyInArrow(_pair_runs(buckets), RUNS).filter("bucket IS NOT NULL").groupBy("bucket")
     answers = runs.applyInArrow(_answers, ANSWERS)
     contexts = runs.applyInArrow(_contexts, CONTEXTS).groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
