@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from haggleframe.functions.text import has_text
+
 MINUTE, HOUR = 60_000, 3_600_000
 
 
+#: What a reason contains if waiting helps, and if it doesn't.
+TRANSIENT = ("cooldown", "rallent", "richieste", "429", "403", "timeout", "tempor", "rete", "network")
+MISS = (
+    "abbastanza univoco", "nessun annuncio compatibile", "più annunci compatibili", "non corrispondono abbastanza", "non supera la verifica", "non disponibile (404)",
+    "metadati dell’annuncio non sono leggibili", "metadati seller/foto non disponibili", "candidati equivalenti", "ambigu",
+)
+
+
 def reason_class(reason: Column) -> Column:
     """Transient failures wait for the next permit, deterministic misses settle soon, others back off."""
     low = F.lower(F.coalesce(reason, F.lit("")))
-    return F.when(low.rlike("timeout|network|http 5|rate limit|offline"), "TRANSIENT").when(low.rlike("not found|no match|http 404|ambiguous"), "MISS").otherwise("OTHER")
+    return F.when(has_text(low, *TRANSIENT), "TRANSIENT").when(has_text(low, *MISS), "MISS").otherwise("OTHER")
 
 
 def settles(kind: Column, attempt: Column) -> Column:

@@ -50,21 +50,21 @@ def filtered_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed(d, FeedOptions(tier="good", least_rating=6.5, least_discount=20, most_total=100000)).limit(60).select("listing_id", "total_cents", "rating", "discount", "tier")
 
 
-@query(with_roles("listings", "jobs") + """, o AS (SELECT listing_id, seller_id, observed_ms FROM listings WHERE lifecycle = 'ACTIVE' AND game_id % 50 = 0), s AS (SELECT DISTINCT seller_id, observed_ms, max(price_cents) AS price_cents FROM listings WHERE lifecycle = 'SOLD' GROUP BY ALL)
+@query(with_roles("listings", "jobs") + """, o AS (SELECT listing_id, seller_id, observed_ms FROM listings WHERE lifecycle = 'ACTIVE'), s AS (SELECT DISTINCT seller_id, observed_ms, max(price_cents) AS price_cents FROM listings WHERE lifecycle = 'SOLD' GROUP BY ALL)
     SELECT listing_id, CASE WHEN o.observed_ms - max(s.observed_ms) <= 8640000000 THEN arg_max(s.price_cents, s.observed_ms) END AS price_cents, CASE WHEN o.observed_ms - max(s.observed_ms) <= 8640000000 THEN max(s.observed_ms) END AS as_of FROM o LEFT JOIN s ON s.seller_id = o.seller_id AND s.observed_ms <= o.observed_ms GROUP BY listing_id, o.observed_ms""")
 def price_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seller's last sale before each offer, if it is at most a hundred days old."""
     l = listings(spark, sf_dir)
-    left = l.filter("lifecycle = 'ACTIVE' AND game_id % 50 = 0").select("listing_id", "seller_id", "observed_ms")
+    left = l.filter("lifecycle = 'ACTIVE'").select("listing_id", "seller_id", "observed_ms")
     right = l.filter("lifecycle = 'SOLD'").groupBy("seller_id", "observed_ms").agg(F.max("price_cents").alias("price_cents"))
     return intervals.as_of(left, right, "seller_id", "observed_ms", "price_cents", 8_640_000_000).select("listing_id", "price_cents", "as_of")
 
 
-@query(with_roles("sightings") + """, r AS (SELECT signature AS run, min(at_ms) AS start_ms, min(at_ms) + 7200000 AS end_ms FROM sightings WHERE signature % 5 = 0 GROUP BY signature) SELECT run, count(*) AS observations, count(DISTINCT signature) AS signatures FROM sightings JOIN r ON at_ms BETWEEN start_ms AND end_ms GROUP BY run""")
+@query(with_roles("sightings") + """, r AS (SELECT signature AS run, min(at_ms) AS start_ms, min(at_ms) + 7200000 AS end_ms FROM sightings GROUP BY signature) SELECT run, count(*) AS observations, count(DISTINCT signature) AS signatures FROM sightings JOIN r ON at_ms BETWEEN start_ms AND end_ms GROUP BY run""")
 def sightings_in_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was seen within two hours of the start of each run."""
     s = sightings(spark, sf_dir)
-    r = s.filter("signature % 5 = 0").groupBy(F.col("signature").alias("run")).agg(F.min("at_ms").alias("start_ms")).withColumn("end_ms", F.col("start_ms") + 7200000)
+    r = s.groupBy(F.col("signature").alias("run")).agg(F.min("at_ms").alias("start_ms")).withColumn("end_ms", F.col("start_ms") + 7200000)
     return intervals.within(s, r, "at_ms", "start_ms", "end_ms", 3600000).groupBy("run").agg(F.count(F.lit(1)).alias("observations"), F.count_distinct("signature").alias("signatures"))
 
 
@@ -80,10 +80,10 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select("listing_id", flag(matched).alias("identified"), flag((c("lifecycle") == "ACTIVE") & done).alias("complete"), flag(c("match_state") == "REVIEW").alias("review"), progress.alias("progress"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, {norm_sql('substr(text, 1, 300)')} AS x FROM documents), k AS (SELECT x, count(*) AS n FROM t GROUP BY x) SELECT t.doc_id, CASE WHEN contains(concat(' ', t.x, ' '), ' cd ') THEN 'QUARANTINE' WHEN t.x = '' THEN 'QUARANTINE' WHEN k.n >= 2 THEN 'REVIEW' WHEN length(t.x) < 40 THEN 'REVIEW' ELSE 'ACCEPT' END AS action FROM t JOIN k USING (x)""")
+@query(f"""WITH t AS (SELECT doc_id, {norm_sql('text')} AS x FROM documents), k AS (SELECT x, count(*) AS n FROM t GROUP BY x) SELECT t.doc_id, CASE WHEN contains(concat(' ', t.x, ' '), ' cd ') THEN 'QUARANTINE' WHEN t.x = '' THEN 'QUARANTINE' WHEN k.n >= 2 THEN 'REVIEW' WHEN length(t.x) < 40 THEN 'REVIEW' ELSE 'ACCEPT' END AS action FROM t JOIN k USING (x)""")
 def intake_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accept, review or quarantine by strong words, repeated titles and length; a listing's title is its first 300 characters."""
-    t = table(spark, sf_dir, "documents").select("doc_id", text.normalise(F.substring("text", 1, 300)).alias("_x"))
+    """Accept, review or quarantine by strong words, repeated titles and length of the whole text."""
+    t = table(spark, sf_dir, "documents").select("doc_id", text.normalise(F.col("text")).alias("_x"))
     k = t.groupBy("_x").agg(F.count(F.lit(1)).alias("_n"))
     x = F.col("_x")
     action = F.when(text.has_phrase(x, "cd") | (x == ""), "QUARANTINE").when((F.col("_n") >= 2) | (F.length(x) < 40), "REVIEW").otherwise("ACCEPT")

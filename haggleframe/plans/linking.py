@@ -12,17 +12,18 @@ from haggleframe.operators import linking, merge, sequences
 from haggleframe.plans.registry import query
 from haggleframe.plans.texts import norm_sql
 from haggleframe.sources.market import games, listings, with_roles
+from haggleframe.sources.shared import shared_dir
 
-_PAIRS_SQL = with_roles("listings") + """, o AS (SELECT * FROM listings WHERE lifecycle = 'ACTIVE' AND seller_id % 5 = 0), k AS (SELECT * FROM listings WHERE lifecycle = 'SOLD'),
+_PAIRS_SQL = with_roles("listings") + """, o AS (SELECT * FROM listings WHERE lifecycle = 'ACTIVE'), k AS (SELECT * FROM listings WHERE lifecycle = 'SOLD'),
     pairs AS (SELECT o.listing_id AS listing_id, k.listing_id AS candidate_id, o.game_id AS game_id, abs(o.price_cents - k.price_cents) AS diff,
         60 + CASE WHEN abs(o.price_cents - k.price_cents) <= 500 THEN 32 WHEN abs(o.price_cents - k.price_cents) <= 2500 THEN 26 WHEN abs(o.price_cents - k.price_cents) <= 10000 THEN 10 ELSE 0 END + CASE WHEN o.seller_id = k.seller_id THEN 30 ELSE 0 END + CASE WHEN o.shipping_cents = k.shipping_cents THEN 8 ELSE 0 END AS score
         FROM o JOIN k USING (game_id) WHERE abs(o.price_cents - k.price_cents) <= 10000)"""
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str, offers: str = "seller_id % 5 = 0") -> DataFrame:
-    """Active listings, by default those that the SQL takes, against sold ones of the same game, scored by price, seller and shipping."""
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active listings against sold ones of the same game, scored by price, seller and shipping."""
     l = listings(spark, sf_dir)
-    o = l.filter("lifecycle = 'ACTIVE'").filter(offers).select("listing_id", "game_id", F.col("price_cents").alias("p"), F.col("seller_id").alias("s"), F.col("shipping_cents").alias("h"))
+    o = l.filter("lifecycle = 'ACTIVE'").select("listing_id", "game_id", F.col("price_cents").alias("p"), F.col("seller_id").alias("s"), F.col("shipping_cents").alias("h"))
     k = l.filter("lifecycle = 'SOLD'").select(F.col("listing_id").alias("candidate_id"), "game_id", "price_cents", "seller_id", "shipping_cents")
     diff = F.abs(F.col("p") - F.col("price_cents"))
     by_price = F.when(diff <= 500, 32).when(diff <= 2500, 26).when(diff <= 10000, 10).otherwise(0)
@@ -48,10 +49,8 @@ def batch_link_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_until_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all active listings, repeated on what is still free; no SQL, tested against a loop in plain Python."""
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="haggleframe-"))
-    return linking.link_rounds(scored_pairs(spark, sf_dir, offers="true"), "listing_id", "candidate_id", "score", 90, 12)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return linking.link_rounds(scored_pairs(spark, sf_dir), "listing_id", "candidate_id", "score", 90, 12)
 
 
 @query(_PAIRS_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY score DESC, candidate_id) AS i, lead(score) OVER (PARTITION BY listing_id ORDER BY score DESC, candidate_id) AS second FROM pairs)
@@ -69,7 +68,7 @@ def top_with_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT seller_id, count(*) AS observed, count(candidate_id) AS committed, count(CASE WHEN right_one THEN 1 END) AS correct, count(CASE WHEN candidate_id IS NULL THEN 1 END) AS unresolved FROM e GROUP BY seller_id""")
 def match_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many links were made and how many of them are to the same seller."""
-    o = listings(spark, sf_dir).filter("lifecycle = 'ACTIVE' AND seller_id % 5 = 0").select("listing_id", "seller_id")
+    o = listings(spark, sf_dir).filter("lifecycle = 'ACTIVE'").select("listing_id", "seller_id")
     e = o.join(batch_link_one_to_one(spark, sf_dir), "listing_id", "left")
     correct = F.split_part("candidate_id", F.lit("-"), F.lit(3)) == F.col("seller_id").cast("string")
     return e.groupBy("seller_id").agg(F.count(F.lit(1)).alias("observed"), F.count("candidate_id").alias("committed"), count_where(correct).alias("correct"), count_where(F.col("candidate_id").isNull()).alias("unresolved"))

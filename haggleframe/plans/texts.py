@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from haggleframe.functions import classify, text
 from haggleframe.operators import sequences
@@ -54,7 +55,7 @@ def _phrase(norm: str, phrases: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains(concat(' ', {norm}, ' '), ' {p} ')" for p in phrases) + ")"
 
 
-@query(f"""WITH t AS (SELECT doc_id, {norm_sql('text')} AS x FROM documents) SELECT doc_id, CASE WHEN {_any('x', classify.NON_GAME)} OR {_phrase('x', ('cd', 'warhammer'))} THEN 'NON_GAME' WHEN {_any('x', classify.EMPTY_BOX)} THEN 'EMPTY_BOX'
+@query(f"""WITH t AS (SELECT doc_id, {norm_sql('text')} AS x FROM documents) SELECT doc_id, CASE WHEN {_any('x', classify.NON_GAME)} OR {_any('x', classify.VIDEO_GAME)} OR {_phrase('x', ('cd', 'warhammer'))} THEN 'NON_GAME' WHEN {_any('x', classify.EMPTY_BOX)} THEN 'EMPTY_BOX'
     WHEN {_any('x', classify.ACCESSORY)} THEN 'ACCESSORY' WHEN {_any('x', classify.COMPONENTS)} THEN 'COMPONENTS' WHEN {_any('x', classify.BUNDLE)} THEN 'BUNDLE' WHEN {_any('x', classify.EXPANSION)} THEN 'EXPANSION' WHEN {_any('x', classify.BOX)} THEN 'UNCERTAIN' ELSE 'BASE_GAME' END AS kind FROM t""")
 def listing_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").select("doc_id", text.normalise(F.col("text")).alias("_x"))
@@ -93,23 +94,25 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH b AS (SELECT item_id, list_distinct(string_split({norm_sql('text')}, ' ')) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct(string_split({norm_sql('text')}, ' ')) AS w FROM documents),
-    bt AS (SELECT item_id, len(w) AS n, unnest(w) AS word FROM b), dt AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM d), df AS (SELECT word FROM dt GROUP BY word HAVING count(*) <= 100),
-    c AS (SELECT item_id, doc_id, bt.n AS bn, dt.n AS dn, count(*) AS common FROM bt JOIN dt USING (word) GROUP BY ALL), r AS (SELECT DISTINCT item_id, doc_id FROM bt JOIN dt USING (word) WHERE word IN (SELECT word FROM df))
-    SELECT item_id, doc_id, round(common / (bn + dn - common), 9) AS jaccard, round(common / least(bn, dn), 9) AS containment FROM c JOIN r USING (item_id, doc_id) WHERE common / bn >= 0.5""")
+    bt AS (SELECT item_id, len(w) AS n, unnest(w) AS word FROM b), dt AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM d),
+    c AS (SELECT item_id, doc_id, bt.n AS bn, dt.n AS dn, count(*) AS common FROM bt JOIN dt USING (word) GROUP BY ALL)
+    SELECT item_id, doc_id, round(common / (bn + dn - common), 9) AS jaccard, round(common / least(bn, dn), 9) AS containment FROM c WHERE common / bn >= 0.5""")
 def passage_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share a rare word with a benchmark passage and at least half of its words: an inverted-index join.
+    """Documents with at least half of the words of a benchmark passage: an inverted-index join on the passage's rarest words.
 
-    Pairs meet through rare words only, each in at most 100 documents, so no common word multiplies rows; the
-    sets of the pairs are compared afterwards.
+    A document that lacks all of a passage's floor(n / 2) + 1 rarest words can't have half of its n words, so the common ones
+    never meet. Texts are split once; words travel as 64-bit hashes.
     """
-    words = lambda t, key: table(spark, sf_dir, t).select(key, F.array_distinct(F.split(text.normalise(F.col("text")), " ")).alias(f"_{key}"))
+    words = lambda t, key: table(spark, sf_dir, t).select(key, F.transform(F.array_distinct(F.split(text.normalise(F.col("text")), " ")), lambda w: F.xxhash64(w)).alias(f"_{key}"))
     b, d = words("benchmark", "item_id"), words("documents", "doc_id")
-    index = d.select("doc_id", F.explode("_doc_id").alias("word"))
-    rare = index.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).filter("_n <= 100").select("word")
-    pairs = b.select("item_id", F.explode("_item_id").alias("word")).join(rare, "word", "left_semi").join(index, "word").select("item_id", "doc_id").distinct()
-    sized = pairs.join(b, "item_id").join(d, "doc_id")
+    own = b.select("item_id", F.size("_item_id").alias("_size"), F.explode("_item_id").alias("word"))
+    index = d.select("doc_id", F.explode("_doc_id").alias("word")).join(own.select("word").distinct(), "word", "left_semi")
+    counts = index.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy("item_id").orderBy(F.coalesce("_n", F.lit(0)), "word")
+    rarest = own.join(counts, "word", "left").withColumn("_i", F.row_number().over(order)).filter("_i <= floor(_size / 2) + 1")
+    pairs = rarest.select("item_id", "word").join(index, "word").select("item_id", "doc_id").distinct()
     x, y = F.col("_item_id"), F.col("_doc_id")
-    kept = sized.filter(text.coverage(x, y) >= 0.5)
+    kept = pairs.join(b, "item_id").join(d, "doc_id").filter(text.coverage(x, y) >= 0.5)
     return kept.select("item_id", "doc_id", F.round(text.jaccard(x, y), 9).alias("jaccard"), F.round(text.containment(x, y), 9).alias("containment"))
 
 

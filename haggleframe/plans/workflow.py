@@ -14,14 +14,14 @@ from haggleframe.sources.market import jobs, listings, sightings, with_roles
 _NOW = 893_462_400_000  # inside the range of the jobs' times
 
 _SNAPSHOT_SQL = """snap AS (SELECT *, created_ms + (job_id % 7) * 86400000 AS due_ms, created_ms AS started_ms, CASE job_id % 5 WHEN 0 THEN 'HUNT_PRIORITY' WHEN 1 THEN 'MANUAL_PRIORITY' WHEN 2 THEN 'LIVE_DEAL' ELSE 'AUTO' END AS source,
-    CAST(job_id % 8 + 1 AS INTEGER) AS attempt, CASE job_id % 4 WHEN 0 THEN 'HTTP 503' WHEN 1 THEN 'title not found' WHEN 2 THEN 'Timeout' ELSE 'unexpected' END AS reason FROM jobs)"""
+    CAST(job_id % 8 + 1 AS INTEGER) AS attempt, CASE job_id % 4 WHEN 0 THEN 'HTTP 429: troppe richieste' WHEN 1 THEN 'Identità ambigua' WHEN 2 THEN 'Timeout' ELSE 'unexpected' END AS reason FROM jobs)"""
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs with due time, lease, source, attempt and last reason."""
     k = F.col("job_id")
     source = F.when(k % 5 == 0, "HUNT_PRIORITY").when(k % 5 == 1, "MANUAL_PRIORITY").when(k % 5 == 2, "LIVE_DEAL").otherwise("AUTO")
-    reason = F.when(k % 4 == 0, "HTTP 503").when(k % 4 == 1, "title not found").when(k % 4 == 2, "Timeout").otherwise("unexpected")
+    reason = F.when(k % 4 == 0, "HTTP 429: troppe richieste").when(k % 4 == 1, "Identità ambigua").when(k % 4 == 2, "Timeout").otherwise("unexpected")
     return jobs(spark, sf_dir).withColumns({"due_ms": F.col("created_ms") + (k % 7) * 86400000, "started_ms": F.col("created_ms"), "source": source, "attempt": (k % 8 + 1).cast("int"), "reason": reason})
 
 
@@ -38,7 +38,7 @@ def claim_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.claim(snapshot(spark, sf_dir), _NOW, 20).select("job_id", "priority", "source")
 
 
-@query(with_roles("jobs") + "," + _SNAPSHOT_SQL + f""", k AS (SELECT *, CASE WHEN regexp_matches(lower(reason), 'timeout|network|http 5|rate limit|offline') THEN 'TRANSIENT' WHEN regexp_matches(lower(reason), 'not found|no match|http 404|ambiguous') THEN 'MISS' ELSE 'OTHER' END AS kind FROM snap WHERE state = 'PROCESSING')
+@query(with_roles("jobs") + "," + _SNAPSHOT_SQL + f""", k AS (SELECT *, CASE WHEN regexp_matches(lower(reason), 'cooldown|rallent|richieste|429|403|timeout|tempor|rete|network') THEN 'TRANSIENT' WHEN regexp_matches(lower(reason), 'abbastanza univoco|nessun annuncio compatibile|più annunci compatibili|non corrispondono abbastanza|non supera la verifica|non disponibile \\(404\\)|metadati dell’annuncio non sono leggibili|metadati seller/foto non disponibili|candidati equivalenti|ambigu') THEN 'MISS' ELSE 'OTHER' END AS kind FROM snap WHERE state = 'PROCESSING')
     SELECT job_id, kind, CASE WHEN NOT (kind = 'MISS' AND attempt >= 3 OR kind = 'OTHER' AND attempt >= 6) THEN 'FAILED_RETRYABLE' WHEN source IN ('HUNT_PRIORITY', 'MANUAL_PRIORITY') THEN 'NEEDS_REVIEW' ELSE 'FAILED_PERMANENT' END AS next_state,
     {_NOW} + CASE kind WHEN 'TRANSIENT' THEN 0 WHEN 'MISS' THEN 120000 ELSE least(21600000, CAST(600000 * pow(2, least(5, attempt - 1)) AS BIGINT)) END AS next_ms FROM k""")
 def retry_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,13 +123,13 @@ def update_from_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("job_id", F.coalesce("_top", "value_cents").alias("value_cents"), F.when(F.col("_top") > 150000, "FAILED_PERMANENT").otherwise(F.col("state")).alias("state"))
 
 
-@query(with_roles("jobs") + """, w AS (SELECT concat('job-', job_id % 6000) AS job_key, max(priority) AS p FROM jobs GROUP BY 1), e AS (SELECT concat('job-', job_id) AS job_key, state, priority FROM jobs WHERE job_id % 2 = 0)
+@query(with_roles("jobs", "listings") + """, w AS (SELECT concat('job-', job_id) AS job_key, max(CAST(price_cents % 100 AS INTEGER)) AS p FROM listings GROUP BY 1), e AS (SELECT concat('job-', job_id) AS job_key, state, CAST(priority AS INTEGER) AS priority FROM jobs)
     SELECT job_key, CASE WHEN e.state IS NULL THEN 'PENDING' WHEN w.p IS NOT NULL AND e.state = 'PROCESSING' THEN 'PENDING' ELSE e.state END AS state, greatest(coalesce(e.priority, w.p), coalesce(w.p, e.priority)) AS priority FROM e FULL JOIN w USING (job_key)""")
 def enqueue_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enqueueing again raises the priority and revives what had stopped."""
-    j = jobs(spark, sf_dir)
-    wanted = j.select(F.concat(F.lit("job-"), (F.col("job_id") % 6000).cast("string")).alias("job_key"), "priority")
-    have = j.filter("job_id % 2 = 0").select(F.concat(F.lit("job-"), F.col("job_id").cast("string")).alias("job_key"), "state", "priority")
+    """Listings enqueue their jobs again: this raises the priority and revives what had stopped."""
+    key = F.concat(F.lit("job-"), F.col("job_id").cast("string")).alias("job_key")
+    wanted = listings(spark, sf_dir).select(key, (F.col("price_cents") % 100).cast("int").alias("priority"))
+    have = jobs(spark, sf_dir).select(key, "state", F.col("priority").cast("int").alias("priority"))
     return queue.enqueue(have, wanted, revive=("PROCESSING",))
 
 

@@ -8,9 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What the session names in spark.checkpoint.dir; a temporary folder only where it names none (tests)."""
+    """What the session names in spark.checkpoint.dir; where it names none, a temporary folder in local mode (tests), an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         at = tempfile.mkdtemp(prefix="haggleframe-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -93,7 +93,7 @@ def test_text(spark):
 
 
 def test_retry_policy(spark):
-    kind = policy.reason_class(F.lit("HTTP 404"))
+    kind = policy.reason_class(F.lit("Pagina non disponibile (404)"))
     assert one(spark, kind) == "MISS"
     assert one(spark, policy.next_state(F.lit("MISS"), F.lit(3), F.lit(True))) == "NEEDS_REVIEW"
     assert one(spark, policy.retry_delay_ms(F.lit("OTHER"), F.lit(9))) == 10 * 60000 * 32
@@ -114,9 +114,18 @@ def test_merges(spark):
 
 
 def test_manual_ranking():
-    from haggleframe.functions.ranking import alignment, title_rank
+    import pandas as pd
 
-    assert alignment("ca", "abc") == 3 and alignment("caslte", "castle") == 1
+    from haggleframe.functions.ranking import alignments, title_ranks
+
+    def title_rank(query, title, alias=False):
+        return title_ranks(pd.Series([query, "x"]), pd.Series([title, "x"]), pd.Series([alias, False])).tolist()[0]
+
+    assert alignments(["ca", "caslte", "", "a"], ["abc", "castle", "ab", ""]).tolist() == [3, 1, 2, 1]
+    assert title_rank("azul", "azul") == 1880 and title_rank("azul", "azul", True) == 1830
+    assert title_rank("azul game", "azul game") == 1880 and title_rank("", "azul") == 0 and title_rank(None, None) == 0
+    assert title_rank("azul", "azulx") == int(760 * 0.88 + 260 * 0.88 + 260 * 0.8 + 0.5) + 220  # one word begins the other
+    assert title_rank("azul", "azulx", True) == title_rank("azul", "azulx") + 35
     assert title_rank("carcassone", "carcassonne") >= 900 and title_rank("wingspann", "wingspan") >= 900
     assert title_rank("white caslte", "the white castle") >= 800 and title_rank("gioco azul italiano", "azul") >= 1500
     assert title_rank("7 wonder duel", "7 wonders duel") > title_rank("7 wonder duel", "7 wonders")
