@@ -155,3 +155,10 @@ def quality_composite(rank: Column, geek: Column, average: Column, votes: Column
     capped = F.when(ranked, raw).otherwise(F.least(F.lit(69.0), raw))
     nothing = rank.isNull() & geek.isNull() & average.isNull() & votes.isNull()
     return F.when(~nothing, half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), capped))))
+
+
+def shipping_estimate(own: Column, seen: Column, minimum: Column, age_ms: Column, valid_ms: int = 86_400_000, standard: int = 450) -> tuple[Column, Column]:
+    """(cents, source): what was entered, else what was seen at most `valid_ms` ago, at least the standard if only a minimum was shown, else the standard."""
+    fresh = seen.isNotNull() & (age_ms < valid_ms)
+    cents = F.when(own.isNotNull(), own).when(fresh & minimum, F.greatest(F.lit(standard), seen)).when(fresh, seen).otherwise(standard)
+    return cents, F.when(own.isNotNull(), "own").when(fresh & minimum, "minimum").when(fresh, "seen").otherwise("standard")
