@@ -56,7 +56,7 @@ def decide(rows: DataFrame, item: str, all_in: str, benchmark: str, q25: str, al
     Without a benchmark or a price there is no decision to make. A great buy needs the strong
     margin in total and an item price in the lower quartile; a good price the small margin; an
     offer is worth it if a cut of 5 to 15 % brings the total to a good price. The ceilings are
-    columns of their own, so that each is computed once per row.
+    columns of their own, so that each is computed once per row. `offer_cents` is the price to offer, null unless an offer is the decision.
     """
     i, t, b, q = F.col(item), F.col(all_in), F.col(benchmark), F.col(q25)
     step = rows.withColumns({"_good": good_ceiling(b), "_great": F.greatest(F.lit(1).cast("long"), b - strong_margin(b)), "_fair": b + small_margin(b)})
@@ -72,7 +72,8 @@ def decide(rows: DataFrame, item: str, all_in: str, benchmark: str, q25: str, al
         .when(i <= F.col("_fair"), "FAIR")
         .otherwise("REJECT")
     )
-    return step.withColumn(into, name).drop("_good", "_great", "_fair", "_best", "_step", "_offer")
+    step = step.withColumn(into, name).withColumn("offer_cents", F.when(F.col(into) == "OFFER", offer))
+    return step.drop("_good", "_great", "_fair", "_best", "_step", "_offer")
 
 
 def storage_tier(name: Column) -> Column:

@@ -1,3 +1,3 @@
 """Queries over the market tables; importing the modules registers them."""
 
-from haggleframe.plans import catalog, events, linking, market, relational, rules, scout, streams, texts, workflow  # noqa: F401
+from haggleframe.plans import catalog, events, identity, linking, market, relational, rules, scout, streams, texts, workflow  # noqa: F401
