@@ -98,7 +98,7 @@ def variant_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_roles("listings", "games") + """, x AS (SELECT l.job_id, l.price_cents, l.shipping_cents, rating, CASE game_id % 5 WHEN 0 THEN 45 WHEN 1 THEN 18 WHEN 3 THEN 0 ELSE 5 END AS penalty FROM listings l JOIN games USING (game_id)),
     b AS (SELECT job_id, avg(rating) AS quality, sum(price_cents) AS asked, sum(price_cents) - CAST(floor(sum(price_cents) * 0.92 + 0.5) AS BIGINT) AS saved, bool_and(shipping_cents > 0) AS shipped, sum(penalty) AS penalty FROM x GROUP BY job_id HAVING count(*) >= 2)
-    SELECT job_id, round(quality * 12 + CASE WHEN shipped THEN greatest(-20, least(60, saved * 100.0 / asked)) * 0.55 ELSE 0 END - penalty, 4)::DOUBLE AS score FROM b""")
+    SELECT job_id, CASE WHEN score = 0 THEN 0 ELSE score END AS score FROM (SELECT job_id, round(quality * 12 + CASE WHEN shipped THEN greatest(-20, least(60, saved * 100.0 / asked)) * 0.55 ELSE 0 END - penalty, 4)::DOUBLE AS score FROM b)""")
 def bundle_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of a parcel: mean rating, saving if the shipping is known, less what its languages cost.
 
