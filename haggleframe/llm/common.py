@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -77,6 +78,14 @@ def ranked(df: DataFrame, keys: list[str], salt: Column, order: list, salts: int
     return within.join(shifts, [*keys, "_salt"]).withColumn("_rank", F.col("_at") + F.col("_shift")).drop("_salt", "_at", "_shift")
 
 
+def give_back() -> None:
+    """Return what is freed to the system: a Python worker lives on through later stages, and would hold the peak of each."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def packed(table: pa.Table) -> bytes:
     """A table as compressed bytes."""
     sink = pa.BufferOutputStream()

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from haggleframe.llm.common import materialise_bucketed, packed, ranked, text_batches, unpacked
+from haggleframe.llm.common import give_back, materialise_bucketed, packed, ranked, text_batches, unpacked
 
 #: Words are known by the XXH64 of their bytes; these stand for the end of a text and for what comes before its first word.
 END, BEGIN = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" begin")
@@ -70,7 +70,8 @@ def _states(columns: list[str], size: int) -> Callable[[Iterator[pa.RecordBatch]
         def out(held: list[pa.RecordBatch], parts: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
             docs = pa.Table.from_batches(held)
             trained, counts = docs["_train"].to_numpy(zero_copy_only=False), np.concatenate(sizes)
-            words, at, often = np.unique(np.append(np.concatenate(parts), np.uint64(BEGIN)), return_inverse=True, return_counts=True)
+            words, at, often = np.unique(np.concatenate([*parts, np.array([BEGIN], np.uint64)]), return_inverse=True, return_counts=True)
+            parts.clear()
             order = np.argsort(-often, kind="stable")  # frequent words have small numbers, whose upper bytes take no room
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
@@ -92,8 +93,11 @@ def _states(columns: list[str], size: int) -> Callable[[Iterator[pa.RecordBatch]
                 yield out(held, parts, sizes)
                 held, parts, sizes, bytes_held = [], [], [], 0
                 made += 1
+                give_back()
         if held:
             yield out(held, parts, sizes)
+        del held, parts, sizes
+        give_back()
 
     return run
 
@@ -132,14 +136,18 @@ class Block:
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[np.cumsum(self.sizes) - self.sizes] = self.begin
-        key = (before.astype(np.int64) * len(self.words) + self.tokens) << 1
+        key = before.astype(np.int64)
+        del before
+        key *= len(self.words)
+        key += self.tokens
+        key <<= 1
         key += np.repeat(self.docs["_train"].to_numpy(zero_copy_only=False), self.sizes)
         key.sort()
         pairs = key >> 1
         head = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(key) else np.zeros(0, np.int64)
         self.n = np.add.reduceat(key & 1, head).astype(np.int32) if len(key) else np.zeros(0, np.int32)
         pairs = pairs[head]
-        del key, before
+        del key
         self.v, self.w = (pairs // len(self.words)).astype(np.int32), (pairs % len(self.words)).astype(np.int32)
         self.shared = (self.numbers[self.v] >= 0) & (self.numbers[self.w] >= 0)
 
@@ -160,6 +168,7 @@ def _pair_runs(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """For each bucket, the block's pairs that other blocks may have. In one of them also what the other retained pairs add to contexts."""
 
     def run(row: pa.Table, known: pa.Table) -> pa.Table:
+        give_back()
         own, number = Block(row, known), row["_block"][0].as_py()
         own.count_pairs()
         alone = (own.n >= LEAST) & ~own.shared & (own.numbers[own.v] >= 0)
@@ -266,6 +275,7 @@ OUT = "n_tokens long, n_known long, train_tokens long, base_score double, score
 
 def _score(columns: list[str], buckets: int, discount: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(row: pa.Table, known: pa.Table) -> pa.Table:
+        give_back()
         totals = known.filter(known["total"].is_valid())
         total, distinct = totals["total"][0].as_py(), totals["distinct"][0].as_py()
         told = known.filter(known["word"].is_valid())
@@ -288,6 +298,7 @@ def _score(columns: list[str], buckets: int, discount: float) -> Callable[[pa.Ta
         del own, told, answers, place, kept, at
         automaton = Automaton(words, counts, total, distinct, (words[v], words[w], n), (words[ctx], mass[ctx], many[ctx]), discount)
         del v, w, n, many, mass, ctx
+        give_back()
         is_known = counts > 0
         cuts = np.append(0, np.cumsum(sizes)).tolist()
         score, base_score, n_known = [], [], []
