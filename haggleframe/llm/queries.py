@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haggleframe.llm import encoding, exact_dedup, imatch, language_id, language_model, packing, quality, sharding, simhash, substring_dedup
+from haggleframe.llm import alignment, encoding, exact_dedup, imatch, language_id, language_model, packing, quality, sharding, simhash, spelling, substring_dedup
 from haggleframe.llm.common import fold
 
-MULTI, ENGLISH = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
+MULTI, ENGLISH, PIECES = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,14 @@ def op10_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), 24)
 
 
+def op11_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(documents(spark, sf_dir), public_tokenizers.path(ENGLISH), public_tokenizers.path(PIECES))
+
+
+def op13_wildcard_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bloom_language": op1_bloom_language,
     "op2_window_dedup": op2_window_dedup,
@@ -84,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_bounded_ring": op10_bounded_ring,
+    "op11_interval_alignment": op11_interval_alignment,
+    "op13_wildcard_spelling": op13_wildcard_spelling,
 }
 
 ORACLES: dict[str, str] = {
