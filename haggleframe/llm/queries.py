@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haggleframe.llm import alignment, encoding, exact_dedup, imatch, language_id, language_model, packing, quality, sharding, simhash, spelling, substring_dedup
+from haggleframe.llm import alignment, encoding, exact_dedup, imatch, jaccard_join, language_id, language_model, packing, quality, sharding, simhash, spelling, substring_dedup
 from haggleframe.llm.common import fold
 
 MULTI, ENGLISH, PIECES = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -77,6 +77,10 @@ def op11_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(documents(spark, sf_dir), public_tokenizers.path(ENGLISH), public_tokenizers.path(PIECES))
 
 
+def op12_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.cluster(documents(spark, sf_dir), size=5, percent=80)
+
+
 def op13_wildcard_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_two_fit": op9_best_two_fit,
     "op10_bounded_ring": op10_bounded_ring,
     "op11_interval_alignment": op11_interval_alignment,
+    "op12_prefix_tree_join": op12_prefix_tree_join,
     "op13_wildcard_spelling": op13_wildcard_spelling,
 }
 

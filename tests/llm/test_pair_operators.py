@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from haggleframe.llm import alignment, spelling
+from haggleframe.llm import alignment, jaccard_join, prefix_tree, spelling
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "\n\t ", "!!!", "a", "A b", "ñ é 中 😀", "a▁b", "<s> </s> <|endoftext|> <0x41>", "x\x00y", "  two  blanks ", "é é ﬁ", "naïveté " * 40, "x" * 5000, " ".join(["word"] * 3000)]
@@ -183,3 +183,104 @@ def test_spelling_of_nothing_and_of_a_very_long_text(spark):
 def test_roots_follow_long_chains(spark):
     forms = [(f"w{i}", f"w{i + 1}") for i in range(20)] + [("x", "w7")]
     assert {r.root for r in spelling.roots(spark.createDataFrame(forms, "word string, form string")).collect()} == {"w20"}
+
+
+# --- 12 Jaccard join ------------------------------------------------------------------------
+
+
+def grams(text, size=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+
+def brute_classes(rows, size=5, percent=80):
+    sets = [grams(r[1], size) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if both and 100 * both >= percent * (len(x) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if sets[i] and r[0] is not None:
+            k = find(i)
+            least[k] = min(least.get(k, r[0]), r[0])
+    return Counter((r[0], len(s), least.get(find(i)) if s else r[0]) for i, (r, s) in enumerate(zip(rows, sets)))
+
+
+def near_texts(seed, groups=12, size=14):
+    """Groups of edited copies, some barely similar, chains, texts that share a passage, and texts of few words."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(3))
+    passage = [word() for _ in range(40)]
+    found = []
+    for g in range(groups):
+        w = [word() for _ in range(r.randint(6, 120))]
+        if g % 3 == 0:
+            w[len(w) // 2 : len(w) // 2] = passage
+        for _ in range(r.randint(1, size)):
+            v = list(w)
+            for _ in range(r.randint(0, 1 + len(v) // 40)):
+                v[r.randrange(len(v))] = word()
+            found.append(r.choice([" ", "\n", "  "]).join(v).upper() if r.random() < 0.1 else " ".join(v))
+        if g % 4 == 0:
+            for _ in range(8):  # a chain: each is an edited copy of the one before
+                w = list(w)
+                w[r.randrange(len(w))] = word()
+                found.append(" ".join(w))
+    found += [" ".join(w) for n in (1, 2, 3, 4) for w in [passage[:n]] * 2] + [" ".join(passage)] * 5
+    r.shuffle(found)
+    return found
+
+
+@pytest.mark.parametrize(("seed", "block", "part"), [(1, 1 << 23, 1 << 20), (2, 4000, 1 << 20), (3, 1 << 23, 300), (4, 3000, 500), (5, 2000, 100)])
+def test_classes_equal_brute_force(spark, seed, block, part):
+    docs, rows = table(spark, near_texts(seed) + ODD, ", id int, tokens string, label long")
+    got = jaccard_join.cluster(docs, block_bytes=block, part_tokens=part, hubs=2).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_classes(rows)
+
+
+def test_other_thresholds(spark):
+    docs, rows = table(spark, near_texts(6))
+    for size, percent in ((2, 50), (3, 100)):
+        got = jaccard_join.cluster(docs, size=size, percent=percent, block_bytes=3000).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_classes(rows, size, percent)
+
+
+def test_tree_finds_every_similar_set():
+    import numpy as np
+
+    r = random.Random(8)
+    for trial in range(30):
+        base = [r.sample(range(60), 30) for _ in range(3)]
+        sets = [sorted(set(r.sample(b, r.randint(18, 30))) | set(r.sample(range(60, 90), r.randint(0, 3)))) for b in base for _ in range(12)]
+        sizes = np.array([len(s) + r.randint(0, 2) for s in sets])
+        tokens, counts = np.array([x for s in sets for x in s], np.uint64), np.array([len(s) for s in sets])
+        tree = prefix_tree.PrefixTree(tokens, counts, sizes, 80)
+        for x in range(len(sets)):
+            i = tree.order[x]
+            want = set()
+            for y in range(len(sets)):
+                both = len(set(sets[i]) & set(sets[tree.order[y]]))
+                if y > x and 100 * both >= 80 * (sizes[i] + sizes[tree.order[y]] - both):
+                    want.add(y)
+            assert set(tree.similar(x, np.arange(len(sets)) > x).tolist()) == want, trial
+
+
+def test_jaccard_of_nothing_and_of_very_long_texts(spark):
+    assert jaccard_join.cluster(spark.createDataFrame([], SCHEMA)).count() == 0
+    nothing = spark.createDataFrame([(None, None, None, None, None), (4, "", None, None, None), (4, " \n", None, None, None)], SCHEMA)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.cluster(nothing).collect()) == Counter({(None, 0, None): 1, (4, 0, 4): 2})
+    r = random.Random(3)
+    w = [str(r.randrange(10**6)) for _ in range(200_000)]
+    v = [x if i % 100 else "other" for i, x in enumerate(w)]
+    long = [(9, " ".join(w), None, None, None), (5, " ".join(v), None, None, None), (1, " ".join(w[::-1]), None, None, None)]
+    got = {x.doc_id: x.component_id for x in jaccard_join.cluster(spark.createDataFrame(long, SCHEMA)).collect()}
+    assert got == {9: 5, 5: 5, 1: 1}
