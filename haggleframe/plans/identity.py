@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from haggleframe.functions import money, ranking, text
+from haggleframe.functions.publishers import same_publisher
 from haggleframe.functions.stats import count_where
 from haggleframe.operators import sequences
 from haggleframe.plans.linking import _PAIRS_SQL, scored_pairs
@@ -238,17 +239,6 @@ def likely_board_game(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", likely.alias("likely"))
 
 
-def publisher_key(x):
-    """A publisher's name without what only says that it is one."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text.normalise(x), r"\b(games?|edizioni|editions?|publishing|publisher)\b", ""), r"\s+", " "))
-
-
-def same_publisher(a, b):
-    """Equal, or one within the other; never if either is empty."""
-    x, y = publisher_key(a), publisher_key(b)
-    return (x != "") & (y != "") & (x.contains(y) | y.contains(x))
-
-
 @query(with_roles("games") + r""", p AS (SELECT game_id, trim(lower(regexp_replace(publisher, '[^A-Za-z0-9]+', ' ', 'g'))) AS a, CASE game_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'brand 1' ELSE trim(lower(regexp_replace(publisher, '[^A-Za-z0-9]+', ' ', 'g'))) END AS b FROM games) SELECT game_id, a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)) AS same FROM p""")
 def publisher_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue publishers against the names that sellers give."""
