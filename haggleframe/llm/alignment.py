@@ -31,6 +31,8 @@ from haggleframe.llm.encoding import vocabulary
 BITS = 20
 #: Text of a block, and text that one numpy step sees.
 BLOCK, STEP = 8 << 20, 1 << 20
+#: Words that a worker remembers of each tokenizer.
+REMEMBERED = 1 << 19
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long"
 
 
@@ -45,12 +47,48 @@ class Pieces:
         self.byte_counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.byte_starts = np.cumsum(self.byte_counts) - self.byte_counts
 
+        # if no piece has a blank behind anything else, no merge crosses the border before a run of blanks
+        self.divisible, self.blank = not any(re.search("[^▁]▁", n) for n in names), self.model.piece_to_id("▁")
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in order, and how many each text has; the model puts a blank before each text that isn't empty."""
         ids = self.model.encode(texts, num_threads=1)
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(counts.sum())), counts
 
 
+class PieceEncoder:
+    """Encodes texts by words, each with the blanks before it, and remembers the ids of about `remembered` of them."""
+
+    def __init__(self, pieces: Pieces, remembered: int) -> None:
+        self.pieces, self.remembered = pieces, remembered
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.flat, self.sizes = bpe.Numbers(), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.pieces.divisible:
+            return self.pieces.encode(texts)
+        if len(self.numbers) > self.remembered:
+            self.forget()
+        known, word, parts, counts = len(self.numbers), re.compile(" +[^ ]*"), [], []
+        for t in texts:
+            words = word.findall(f" {t}")
+            counts.append(len(words))
+            parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+        new = [w[1:] for w in itertools.islice(self.numbers, known, None)]
+        flat, sizes = self.pieces.encode([w for w in new if w])  # a blank alone is no text to the model
+        if "" in new:
+            at = new.index("")
+            flat, sizes = np.insert(flat, sizes[:at].sum(), self.pieces.blank), np.insert(sizes, at, 1)
+        self.flat, self.sizes = np.concatenate((self.flat, flat)), np.concatenate((self.sizes, sizes))
+        piece = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        total = np.append(0, np.cumsum(self.sizes[piece]))
+        starts = np.cumsum(self.sizes) - self.sizes
+        return bpe.gather(self.flat, starts[piece], self.sizes[piece]), np.diff(total[np.append(0, np.cumsum(counts)).astype(np.int64)])
+
+
 @functools.lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
     """Once per Python worker."""
@@ -110,20 +148,23 @@ def group_text(a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.nd
     return rows[shown].tobytes(), sizes[(a_until + b_until)[last_groups] - 1]
 
 
-def align(ids: list[int | None], texts: list[str | None], a: bpe.Encoder, b: Pieces) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch of texts: the documents' columns; and of their distinct linked pairs of ids the document's place, the pair, and how often it is linked."""
+Encoded = tuple[np.ndarray, np.ndarray]
+
+
+def align(ids: list[int | None], texts: list[str | None], of_a: Encoded, of_b: Encoded, a: bpe.Vocabulary, b: Pieces) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of texts, of which those that aren't empty are encoded: the documents' columns; and of their distinct linked pairs of ids the document's place, the pair, and how often it is linked."""
     some = [i for i, t in enumerate(texts) if t]
     spaced = [f" {texts[i]}" for i in some]
-    (a_ids, a_counts), (b_ids, b_counts) = next(a.encode([spaced])), b.encode([texts[i] for i in some])
+    (a_ids, a_counts), (b_ids, b_counts) = of_a, of_b
     right = [t.encode() for t in spaced]
-    good = np.array([x == t and y == t for x, y, t in zip(joined(a.vocabulary, a_ids, a_counts), joined(b, b_ids, b_counts), right)], bool)
+    good = np.array([x == t and y == t for x, y, t in zip(joined(a, a_ids, a_counts), joined(b, b_ids, b_counts), right)], bool)
     a_ids, b_ids = a_ids[np.repeat(good, a_counts)], b_ids[np.repeat(good, b_counts)]
     doc, a_counts, b_counts = np.array(some, np.int64)[good], a_counts[good], b_counts[good]
     n_a, n_b, n_groups, n_links = (np.zeros(len(texts), np.int64) for _ in range(4))
     shas = [""] * len(texts)
     pairs = (np.zeros(0, np.int64),) * 3
     if len(doc):
-        first, last, begins = overlaps(a.vocabulary.byte_counts[a_ids], b.byte_counts[b_ids])
+        first, last, begins = overlaps(a.byte_counts[a_ids], b.byte_counts[b_ids])
         b_group = np.cumsum(begins) - 1
         a_group = b_group[first]
         links = last - first + 1
@@ -148,10 +189,12 @@ def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(block, payload, pairs, documents): texts in blocks; of each block the distinct pairs of ids in order, and how many of its documents link them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = bpe.Encoder(vocabulary(a_path)), pieces(b_path)
+        a, b = bpe.Encoder(vocabulary(a_path), REMEMBERED), PieceEncoder(pieces(b_path), REMEMBERED)
         task = TaskContext.get().partitionId()
         for number, block in enumerate(text_batches(batches, limit=BLOCK)):
-            parts = [align(s.column("doc_id").to_pylist(), s.column("text").to_pylist(), a, b) for s in text_batches(iter([block]), limit=STEP)]
+            steps = [(s.column("doc_id").to_pylist(), s.column("text").to_pylist()) for s in text_batches(iter([block]), limit=STEP)]
+            of_a = a.encode([[f" {t}" for t in texts if t] for _, texts in steps])
+            parts = [align(*step, own, b.encode([t for t in step[1] if t]), a.vocabulary, b.pieces) for step, own in zip(steps, of_a)]
             pair = np.concatenate([p[2] for p in parts])
             distinct, place, n = np.unique(pair, return_inverse=True, return_counts=True)
             sizes = np.concatenate([np.bincount(p[1], minlength=p[0].num_rows) for p in parts]).astype(np.int64)
@@ -161,7 +204,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([task << 32 | number], pa.int64()), pa.array([packed(rows)], pa.binary()), pa.array([distinct], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64()))], ["block", "payload", "pairs", "documents"]
             )
-            del parts, pair, distinct, place, lists, rows
+            del steps, parts, pair, distinct, place, lists, rows
             give_back()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

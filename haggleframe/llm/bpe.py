@@ -328,7 +328,9 @@ def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarr
     return flat[shift + np.arange(total)]
 
 
-class _Numbers(dict):
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
     def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
         return n
@@ -342,7 +344,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers, self.flat, self.sizes = _Numbers(), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.numbers, self.flat, self.sizes = Numbers(), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def encode(self, groups: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, counts per text) for each group of texts; new distinct pre-tokens of all groups are encoded together."""
