@@ -75,10 +75,23 @@ def strip_noise(norm: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(norm, f"^(?:{CONDITION} )+", ""), f"(?: {CONDITION})+$", "")
 
 
+#: What is between a title and a seller's words about it, and what those words contain.
+DASHES = r" (?:–|—|-) "
+DESCRIBES = ("gioco ", " gioco", "board game", "edizione", "versione", "marca ", "condizioni", "completo", "sigillato")
+
+
+def descriptive_lead(raw: Column) -> Column:
+    """What stands before the first dash, if it has a letter or two and words behind the dash describe the thing; else empty."""
+    x = F.coalesce(raw, F.lit(""))
+    lead = F.regexp_extract(x, f"(?s)^(.{{2,}}?){DASHES}", 1)
+    rest = normalise(F.substring(x, F.length(lead) + 2, F.length(x)))
+    return F.when((lead != "") & has_text(rest, *DESCRIBES), F.trim(lead)).otherwise("")
+
+
 def title_variants(raw: Column) -> Column:
-    """Distinct non-empty spellings to look up: the title and the title without noise."""
-    base = normalise(raw)
-    return F.array_remove(F.array_distinct(F.array(base, strip_noise(base))), "")
+    """Distinct non-empty spellings to look up, in order: the title, without noise, what leads it, and that without noise."""
+    base, lead = normalise(raw), normalise(descriptive_lead(raw))
+    return F.array_remove(F.array_distinct(F.array(base, strip_noise(base), lead, strip_noise(lead))), "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
