@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -88,10 +88,11 @@ def descriptive_lead(raw: Column) -> Column:
     return F.when((lead != "") & has_text(rest, *DESCRIBES), F.trim(lead)).otherwise("")
 
 
-def title_variants(raw: Column) -> Column:
-    """Distinct non-empty spellings to look up, in order: the title, without noise, what leads it, and that without noise."""
-    base, lead = normalise(raw), normalise(descriptive_lead(raw))
-    return F.array_remove(F.array_distinct(F.array(base, strip_noise(base), lead, strip_noise(lead))), "")
+def with_title_variants(rows: DataFrame, title: str, into: str) -> DataFrame:
+    """Add the distinct non-empty spellings to look up, in order: the title, without noise, what leads it, and that without noise."""
+    parts = rows.withColumns({"_base": normalise(F.col(title)), "_lead": normalise(descriptive_lead(F.col(title)))})
+    short = parts.withColumns({"_short": strip_noise(F.col("_base")), "_short_lead": strip_noise(F.col("_lead"))})
+    return short.withColumn(into, F.array_remove(F.array_distinct(F.array("_base", "_short", "_lead", "_short_lead")), "")).drop("_base", "_lead", "_short", "_short_lead")
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -52,4 +52,4 @@ def plausible_pairs(asked: DataFrame, titles: DataFrame) -> DataFrame:
     for most, key in ((2, long), (1, near)):
         ways += [(keyed(a.filter(F.size(q) <= most), "asked", key(q)), keyed(t, "title", key(c))), (keyed(a.filter(F.size(q) > most), "asked", key(q)), keyed(t.filter(F.size(c) <= most), "title", key(c)))]
     met = reduce(DataFrame.unionByName, [x.join(y, "key").select("asked", "title") for x, y in ways]).distinct()
-    return met.filter(overlap.plausible_overlap(F.col("asked"), F.col("title")))
+    return met.join(a, "asked").join(t, "title").filter(overlap.plausible_overlap(F.col("asked"), F.col("title"), q, c)).select("asked", "title")

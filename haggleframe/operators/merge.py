@@ -36,3 +36,24 @@ def patch(rows: DataFrame, overrides: DataFrame, key: str, columns: dict[str, st
     read = overrides.select(key, F.from_json("payload", schema).alias("_p"))
     joined = rows.join(read, key, "left")
     return joined.withColumns({c: F.coalesce(F.col(f"_p.{c}"), F.col(c)) for c in columns}).drop("_p")
+
+
+def fenced_merge(target: DataFrame, changes: DataFrame, key: str, fence: dict[str, Column], order: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the new table, `changes` with their `outcome`): many writers' changes in one batch, of which only those that hold the row's lease count.
+
+    `fence` names what a change expects of the row: conditions on `t.` (row) and `c.` (change), all of which must be true, null being false. The first
+    valid change of a row, by `order`, sets `columns` and ends the lease; what comes after it is `late`, what doesn't hold the lease `stale`, and a
+    change to a row that isn't there `unknown`. Keys of the target are unique. A row's first change is found by partial aggregation, so
+    a row that very many writers change is no hot key.
+    """
+    valid = F.lit(True)
+    for condition in fence.values():
+        valid = valid & F.coalesce(condition, F.lit(False))
+    rows = target.withColumn("_known", F.lit(True))
+    seen = changes.alias("c").join(rows.alias("t"), key, "left").select("c.*", F.coalesce("t._known", F.lit(False)).alias("_known"), valid.alias("_valid"))
+    first = F.struct(*order)
+    winners = seen.filter("_valid").groupBy(key).agg(F.min(F.struct(first.alias("o"), F.struct(*columns).alias("v"))).alias("_w"))
+    after = target.join(winners, key, "left").select(*[F.when(F.col("_w").isNotNull(), F.col(f"_w.v.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns])
+    told = seen.join(winners.select(key, F.col("_w.o").alias("_o")), key, "left")
+    outcome = F.when(~F.col("_known"), "unknown").when(~F.col("_valid"), "stale").when(first == F.col("_o"), "applied").otherwise("late")
+    return after, told.withColumn("outcome", outcome).drop("_known", "_valid", "_o")
