@@ -27,3 +27,13 @@ def page_time_ms(html: Column) -> Column:
     iso = F.regexp_extract(html, r"\b(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})", 1)
     epoch = F.regexp_extract(html, r'"(?:created_at|timestamp|created)[a-z_]*"\s*:\s*"?(\d{10,13})', 1).try_cast("long")
     return F.coalesce(F.unix_millis(F.try_to_timestamp(F.nullif(iso, F.lit("")), F.lit("yyyy-MM-dd'T'HH:mm:ss"))), F.when(epoch < 100_000_000_000, epoch * 1000).otherwise(epoch))
+
+
+def local_day(ms: Column, zone: str) -> tuple[Column, Column, Column]:
+    """The day of a moment in a zone, as days since 1970, and the day's first and last millisecond: 23 to 25 hours, as clocks are changed.
+
+    The session's own zone doesn't matter.
+    """
+    day = F.floor(F.unix_millis(F.from_utc_timestamp(F.timestamp_millis(ms), zone)) / DAY)
+    begin = lambda d: F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(d * DAY), zone))
+    return day, begin(day), begin(day + 1) - 1

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from haggleframe.functions import classify, text
-from haggleframe.operators import sequences
+from haggleframe.operators import hamming, sequences
 from haggleframe.plans.registry import query
 from haggleframe.sources.market import games, listings, table, with_roles
 
@@ -148,17 +148,35 @@ def age_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT q.vec_id, h.vec_id AS nearest, h.label AS found, q.label AS truth, bit_count(xor(q.hash63, h.hash63)) AS distance FROM q JOIN h ON h.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, nearest) AS i FROM p)
     SELECT vec_id, nearest, CAST(distance AS BIGINT) AS distance, CAST(CASE WHEN found = truth THEN 1 ELSE 0 END AS INTEGER) AS same_label FROM r WHERE i = 1""")
 def photo_hash_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest photo hash of every hundredth photo (the query set) among all: the sign bits of 63 dimensions, by Hamming distance.
-
-    The query side is the small one and is broadcast if its size allows; each row of the large side
-    is compared with the queries and only its minimum per query survives the partial aggregation.
-    """
+    """Nearest photo hash of every hundredth photo (the query set) among all: the sign bits of 63 dimensions, by Hamming distance."""
     bits = F.aggregate(F.transform(F.slice("embedding", 1, 63), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
-    h = table(spark, sf_dir, "embeddings").select("vec_id", "label", bits.alias("hash"))
-    q = h.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("truth"), F.col("hash").alias("qh"))
-    pairs = h.join(q, F.col("q") != F.col("vec_id"))
-    best = pairs.groupBy("q", "truth").agg(F.min(F.struct(F.bit_count(F.col("hash").bitwiseXOR(F.col("qh"))).alias("d"), "vec_id", "label")).alias("b"))
-    return best.select(F.col("q").alias("vec_id"), F.col("b.vec_id").alias("nearest"), F.col("b.d").cast("long").alias("distance"), (F.col("b.label") == F.col("truth")).cast("int").alias("same_label"))
+    h = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", bits.alias("hash"))
+    best = hamming.nearest(h.filter("id % 100 = 0").select(F.col("id").alias("q"), F.array("hash").alias("hashes")), h.select("id", "hash"))
+    labels = h.select("id", "label")
+    both = best.join(labels, "id").join(labels.toDF("q", "truth"), "q")
+    return both.select(F.col("q").alias("vec_id"), F.col("id").alias("nearest"), F.col("distance").cast("long").alias("distance"), (F.col("label") == F.col("truth")).cast("int").alias("same_label"))
+
+
+#: Shares of a photo's width that its crops keep, all about the middle, and where each crop is sampled: 65 places.
+CROPS = (1.0, 0.92, 0.82, 0.72)
+PLACES = [[int(32 * (1 - keep) + i * keep * 63 / 64) for i in range(65)] for keep in CROPS]
+_BITS = lambda places: f"list_transform(range(64), lambda i: CASE WHEN embedding[({places})[i + 1] + 1] > embedding[({places})[i + 2] + 1] THEN 1 ELSE 0 END)"
+
+
+@query(f"""WITH h AS (SELECT vec_id, {_BITS(PLACES[0])} AS full_, [{", ".join(map(_BITS, PLACES))}] AS crops FROM embeddings), q AS (SELECT vec_id, unnest(crops) AS crop FROM h WHERE vec_id % 100 = 0),
+    p AS (SELECT q.vec_id, h.vec_id AS nearest, min(64 - list_sum(list_transform(list_zip(crop, full_), lambda x: CASE WHEN x[1] = x[2] THEN 1 ELSE 0 END))) AS distance FROM q JOIN h ON h.vec_id <> q.vec_id GROUP BY ALL)
+    SELECT vec_id, nearest, CAST(distance AS BIGINT) AS distance, round(1 - distance / 64, 6)::DOUBLE AS likeness FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, nearest) AS i FROM p) WHERE i = 1""")
+def photo_crops_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest cover of every hundredth photo (the query set) by difference hashes: the whole photo or one of three crops against whole covers, the least distance counting."""
+    def bit_hash(places: list[int]) -> Column:
+        p = F.array(*map(F.lit, places))
+        bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.get("embedding", F.get(p, i)) > F.get("embedding", F.get(p, i + 1)), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
+
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.array(*map(bit_hash, PLACES)).alias("hashes"))
+    best = hamming.nearest(queries, e.select(F.col("vec_id").alias("id"), bit_hash(PLACES[0]).alias("hash")))
+    return best.select(F.col("q").alias("vec_id"), F.col("id").alias("nearest"), F.col("distance").cast("long").alias("distance"), F.round(1 - F.col("distance") / 64, 6).alias("likeness"))
 
 
 @query(with_roles("games") + """, w AS (SELECT game_id, unnest(list_distinct(string_split(lower(name), ' '))) AS word FROM games), d AS (SELECT word, count(DISTINCT game_id) AS df FROM w GROUP BY word)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haggleframe.functions.cards import with_title
+
 SEARCH_INDEX = "bgg_id string, name string, year string, rank string, voters string, average string, geek string, aliases string"
 
 
@@ -44,8 +46,8 @@ def catalogue_items(answers: DataFrame, column: str = "xml") -> DataFrame:
     return items.select(F.col("i._id").alias("bgg_id"), F.try_element_at(primary, F.lit(1))["_value"].alias("name"), F.col("i.yearpublished._value").try_cast("int").alias("year"), of("boardgamecategory").alias("categories"), of("boardgamemechanic").alias("mechanics"))
 
 
-def balanced_json(text: str, most: int = 60_000) -> list[str]:
-    """Every outermost balanced object or array in a text; braces inside strings don't count."""
+def balanced_json(text: str) -> list[str]:
+    """Every outermost balanced object or array in a text, however long; braces inside strings don't count."""
     out, depth, start, quoted, escaped = [], 0, -1, False, False
     for i, c in enumerate(text):
         if quoted:
@@ -57,7 +59,7 @@ def balanced_json(text: str, most: int = 60_000) -> list[str]:
             depth += 1
         elif c in "}]" and depth:
             depth -= 1
-            if not depth and i - start < most:
+            if not depth:
                 out.append(text[start : i + 1])
     return out
 
@@ -148,9 +150,8 @@ def parse_cards(cards: DataFrame, column: str = "card") -> DataFrame:
     x = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(column, r"[\r\n]", ","), r"\s+", " "), r",\s*,+", ","))
     prices = F.transform(F.regexp_extract_all(x, F.lit(r"(\d+(?:[.,]\d{1,2})?)\s*€"), 1), lambda p: F.floor(F.regexp_replace(p, ",", ".").cast("double") * 100 + 0.5).cast("long"))
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    title = blank(F.regexp_extract(x, r"(?i)^(.*?)\s*(?:,|;|\||$)", 1))
-    out = cards.withColumns({"_x": x}).withColumns(
-        {"title": title, **{k: blank(F.regexp_extract(x, p, 1)) for k, p in CARD.items()}, "price_cents": F.try_element_at(prices, F.lit(1)), "protected_cents": F.try_element_at(prices, F.lit(2)), "favourites": blank(F.regexp_extract(x, r"(?i)preferiti da\s+(\d+)\s+utent", 1)).try_cast("int")}
+    out = with_title(cards.withColumns({"_x": x}), "_x", "title").withColumns(
+        {"title": blank(F.col("title")), **{k: blank(F.regexp_extract(x, p, 1)) for k, p in CARD.items()}, "price_cents": F.try_element_at(prices, F.lit(1)), "protected_cents": F.try_element_at(prices, F.lit(2)), "favourites": blank(F.regexp_extract(x, r"(?i)preferiti da\s+(\d+)\s+utent", 1)).try_cast("int")}
     )
     return out.filter("price_cents IS NOT NULL AND title IS NOT NULL").drop("_x")
 

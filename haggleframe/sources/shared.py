@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
         at = tempfile.mkdtemp(prefix="haggleframe-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back: later steps start from files that a lost executor doesn't take along."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/haggleframe/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -72,3 +72,43 @@ def test_stream_state_spans_batches(spark, tmp_path):
     assert [r[1] for r in drain(sightings.running_listings(source()), "seen", "complete")] == [4]
     assert len(drain(sightings.once_within(source(), "1 hour"), "once")) == 4
     drain(sightings.session_windows(source(), 180_000), "sessions")
+
+
+def test_titles_of_screens(spark):
+    from haggleframe.functions import cards as c
+
+    said = {
+        "Azul, brand: Plan B, 12 €": "Azul", "12,50 € include la protezione; Azul gioco; Carcassonne il grande classico": "Carcassonne il grande classico", "9 €": "", "": "", "annuncio: Catan | 3 €": "Catan",
+        "Brand: x, condizioni: y": "", "12345, 99 euro": "", "12 euro e 50, Root": "Root", "spedizione 3 €; x": "", "10 € Brass, bello": "Brass", "A" * 181 + ", ok": "ok",
+    }
+    got = c.with_title(spark.createDataFrame([(x,) for x in [*said, None]], "x string"), "x", "t").collect()
+    assert {r.x: r.t for r in got} == {**said, None: ""}
+
+
+def test_product_pages(spark):
+    from haggleframe.functions import cards as c
+
+    page = "<html><head><title>Azul - gioco da tavolo</title><script>12 €</script></head><body><!-- 1 € --><div>14,20 € con protezione</div><p>Prezzo&nbsp;13,50&nbsp;€</p><p>spedizione 2,99 €</p><li>Articolo non disponibile</li></body></html>"
+    rows = c.product_pages(spark.createDataFrame([(1, page), (2, None), (3, "<p>Catan<br>5 &euro;</p>")], "page_id long, html string")).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, "Azul - gioco da tavolo", 1350, 299, True), (2, "", None, None, False), (3, "Catan", 500, None, False)]
+
+
+def test_very_long_json(spark):
+    long = '<script>{"id": 7, "title": "' + "x" * 200_000 + '"}</script>'
+    assert len(readers.embedded_items(spark.createDataFrame([(1, long)], "page_id long, html string")).first().title) == 200_000
+
+
+def test_nearest_by_hamming(spark):
+    import random
+
+    from haggleframe.operators import hamming
+
+    r = random.Random(3)
+    rows = [(i, r.getrandbits(64) - (1 << 63)) for i in range(60)] + [(100, 5), (101, 5), (102, -1)]
+    rows += [(200 + i, rows[i][1] ^ (1 << i)) for i in range(10)]
+    asked = [(i, [h, r.getrandbits(63)]) for i, h in rows[:15]] + [(100, [5]), (500, [r.getrandbits(63)]), (501, [])]
+    got = hamming.nearest(spark.createDataFrame(asked, "q long, hashes array<long>"), spark.createDataFrame(rows, "id long, hash long")).collect()
+    bits = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    want = {q: min((min(bits(h, x) for h in hs), i) for i, x in rows if i != q) for q, hs in asked if hs}
+    assert {x.q: (x.distance, x.id) for x in got} == want
+    assert hamming.nearest(spark.createDataFrame(asked[:1], "q long, hashes array<long>"), spark.createDataFrame(rows[:1], "id long, hash long")).count() == 0
