@@ -156,15 +156,7 @@ def next_seller_to_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT signature, at_ms, price_cents FROM f WHERE sent = 1""")
 def alert_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An alert repeats after a day, or at once if it is 3 euros better than the last one sent."""
-    times = F.array_sort(F.collect_list(F.struct("at_ms", "price_cents")))
-    start = F.struct(F.array().cast("array<struct<at_ms:bigint,price_cents:bigint>>").alias("sent"), F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("p"))
-
-    def step(acc: Column, x: Column) -> Column:
-        again = acc["t"].isNull() | (x["at_ms"] - acc["t"] >= 86_400_000) | (x["price_cents"] <= acc["p"] - 300)
-        return F.when(again, F.struct(F.concat(acc["sent"], F.array(x)).alias("sent"), x["at_ms"].alias("t"), x["price_cents"].alias("p"))).otherwise(acc)
-
-    sent = sightings(spark, sf_dir).groupBy("signature").agg(F.aggregate(times, start, step, lambda acc: acc["sent"]).alias("s"))
-    return sent.select("signature", F.inline("s"))
+    return sequences.send_again(sightings(spark, sf_dir), "signature", "at_ms", "price_cents", 86_400_000, 300)
 
 
 @query(with_roles("games") + """ SELECT publisher, count(*) AS games, max(CASE WHEN game_id % 3 = 0 THEN 1 ELSE 0 END) AS any_dependent, CASE WHEN bool_or(game_id % 3 = 0) THEN 'DEP' WHEN bool_or(game_id % 3 = 1) THEN 'IND' ELSE '' END AS policy FROM games GROUP BY publisher""")

@@ -21,14 +21,20 @@ _PAIRS_SQL = with_roles("listings") + """, o AS (SELECT * FROM listings WHERE li
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active listings against sold ones of the same game, scored by price, seller and shipping."""
+    """Active listings against sold ones of the same game, scored by price, seller and shipping.
+
+    Prices differ by 10,000 at most, so listings meet by game and stretch of price, an active one its own stretch and both beside it: of a game that very
+    many listings share, only near prices meet.
+    """
     l = listings(spark, sf_dir)
     o = l.filter("lifecycle = 'ACTIVE'").select("listing_id", "game_id", F.col("price_cents").alias("p"), F.col("seller_id").alias("s"), F.col("shipping_cents").alias("h"))
     k = l.filter("lifecycle = 'SOLD'").select(F.col("listing_id").alias("candidate_id"), "game_id", "price_cents", "seller_id", "shipping_cents")
     diff = F.abs(F.col("p") - F.col("price_cents"))
     by_price = F.when(diff <= 500, 32).when(diff <= 2500, 26).when(diff <= 10000, 10).otherwise(0)
     score = 60 + by_price + F.when(F.col("s") == F.col("seller_id"), 30).otherwise(0) + F.when(F.col("h") == F.col("shipping_cents"), 8).otherwise(0)
-    return o.join(k, "game_id").filter(diff <= 10000).select("listing_id", "candidate_id", "game_id", diff.alias("diff"), score.alias("score"))
+    stretch = lambda c: F.floor(F.col(c) / 10000)
+    o, k = o.withColumn("_b", F.explode(F.sequence(stretch("p") - 1, stretch("p") + 1))), k.withColumn("_b", stretch("price_cents"))
+    return o.join(k, ["game_id", "_b"]).filter(diff <= 10000).select("listing_id", "candidate_id", "game_id", diff.alias("diff"), score.alias("score"))
 
 
 @query(_PAIRS_SQL + " SELECT game_id, count(*) AS pairs, count(CASE WHEN diff <= 500 THEN 1 END) AS near, max(score) AS best FROM pairs GROUP BY game_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from haggleframe.functions import money, stats
+from haggleframe.operators import scans
 from haggleframe.plans.registry import query
 from haggleframe.sources.market import games, listings, with_roles
 
@@ -120,19 +121,21 @@ def deal_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM listings a JOIN games g USING (game_id) LEFT JOIN listings b ON a.game_id = b.game_id AND a.seller_id = b.seller_id AND a.listing_id <> b.listing_id GROUP BY a.listing_id, g.prior_cents)
     SELECT listing_id, n, q25, q75, typical, """ + _BLEND_SQL + " AS benchmark_cents FROM others")
 def local_reference_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of the other listings of the same game and seller: one sorted array per group, read around the own position."""
-    l = listings(spark, sf_dir).select("listing_id", "game_id", "seller_id", "price_cents")
-    group = Window.partitionBy("game_id", "seller_id")
-    order = group.orderBy("price_cents", "listing_id")
-    prices = F.transform(F.array_sort(F.collect_list(F.struct("price_cents", "listing_id")).over(group)), lambda x: x["price_cents"])
-    placed = l.withColumn("_prices", prices).withColumn("_own", F.row_number().over(order)).withColumn("n", F.size("_prices").cast("long") - 1)
-
-    def at(i):  # 0-based position among the others
-        k = i.cast("int") + 1
-        return F.when(F.col("n") > 0, F.try_element_at(F.col("_prices"), F.when(k >= F.col("_own"), k + 1).otherwise(k)))
-
+    """Statistics of the other listings of the same game and seller.
+
+    Without its own price a listing sees of the group's order what is at the same rank or one further, so eight prices of each group serve all its
+    listings. Ranks are counted by stretches of price (`scans`), and no row carries its group.
+    """
+    keys = ["game_id", "seller_id"]
+    l = listings(spark, sf_dir).select("listing_id", *keys, "price_cents")
+    ranked = scans.running(l, keys, "price_cents", 20_000, [F.col("listing_id")], {"_own": ("sum", F.lit(1).cast("long"))})
     m = F.col("n") - 1
-    out = placed.select("listing_id", "game_id", "n", at(F.floor(m * 0.25)).alias("q25"), at(F.ceil(m * 0.75)).alias("q75"), F.floor((at(F.floor(m / 2)) + at(F.ceil(m / 2))) / 2).cast("long").alias("typical"))
+    places = {"q25": F.floor(m * 0.25), "q75": F.ceil(m * 0.75), "low": F.floor(m / 2), "high": F.ceil(m / 2)}
+    sized = ranked.join(l.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("n")), keys)
+    picks = [F.max(F.when(F.col("_own") == k + i, F.col("price_cents"))).alias(f"_{name}{i}") for name, k in places.items() for i in (0, 1)]
+    found = sized.groupBy(*keys).agg(*picks)
+    at = lambda name: F.when(F.col("n") > 0, F.when(places[name] >= F.col("_own"), F.col(f"_{name}1")).otherwise(F.col(f"_{name}0")))
+    out = sized.join(found, keys).select("listing_id", "game_id", "n", at("q25").alias("q25"), at("q75").alias("q75"), F.floor((at("low") + at("high")) / 2).cast("long").alias("typical"))
     joined = out.join(games(spark, sf_dir).select("game_id", "prior_cents"), "game_id")
     return joined.select("listing_id", "n", "q25", "q75", "typical", money.blended_reference(F.col("n"), F.col("typical"), F.col("prior_cents")).alias("benchmark_cents"))
 

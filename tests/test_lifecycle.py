@@ -158,3 +158,44 @@ def test_revalidation(spark):
     # only what a change can reach is evaluated again
     marked = first.withColumn("reason", F.concat("reason", F.lit("!")))
     assert {r.listing_id for r in revalidate.revalidate(marked, l, x, y).collect() if r.reason.endswith("!")} == {"near", "far", "null"} - {r.listing_id for r in l.join(revalidate.catalogue_changes(x, y)[0], "game_id").collect()}
+
+
+# --- events in order ------------------------------------------------------------------------
+
+
+def test_standing_events_across_batches(spark):
+    from haggleframe.operators import sequences
+
+    r = random.Random(9)
+    events = [(r.choice(["a", "b", None]), r.randrange(5000), r.randrange(900)) for _ in range(700)] + [("c", None, 1), ("c", 1, None)]
+    df = spark.createDataFrame(events, "k string, at long, p long").repartition(5)
+    by = {}
+    for k, t, p in sorted((e for e in events if e[1] is not None and e[2] is not None), key=lambda e: (e[1], e[2])):
+        by.setdefault(k, []).append((t, p))
+    kept, sent = [], []
+    for k, rows_ in by.items():
+        last = now = None
+        for t, p in rows_:
+            if last is None or t - last > 60:
+                kept.append((k, t))
+                last = t
+            if now is None or t - now[0] >= 300 or p <= now[1] - 200:
+                sent.append((k, t, p))
+                now = (t, p)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert rows(sequences.suppress_repeats(df.filter("p IS NOT NULL"), "k", "at", 60)) == sorted(kept, key=repr)
+        assert rows(sequences.send_again(df, "k", "at", "p", 300, 200)) == sorted(sent, key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_alignments_of_long_texts():
+    import tracemalloc
+
+    from haggleframe.functions.ranking import alignments
+
+    tracemalloc.start()
+    assert alignments(["ab" * 600, "", "x" * 900], ["ba" * 600, "abc", "x" * 901]).tolist() == [2, 3, 1]
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
