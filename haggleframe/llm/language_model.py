@@ -164,6 +164,21 @@ class Block:
 RUNS = "bucket int, _block long, payload binary, contexts binary"
 
 
+def byte_columns(name: str, x: np.ndarray) -> dict[str, np.ndarray]:
+    """Numbers from 0 on as columns of their bytes, the lowest first and no more than the largest needs: what is often zero is compressed apart from what isn't."""
+    n = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    digits = x.astype("<i8").view(np.uint8).reshape(-1, 8)
+    return {f"{name}{i}": np.ascontiguousarray(digits[:, i]) for i in range(n)}
+
+
+def from_bytes(table: pa.Table, name: str) -> np.ndarray:
+    out, i = np.zeros(table.num_rows, np.int64), 0
+    while f"{name}{i}" in table.column_names:
+        out += table[f"{name}{i}"].to_numpy().astype(np.int64) << 8 * i
+        i += 1
+    return out
+
+
 def _pair_runs(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """For each bucket, the block's pairs that other blocks may have. In one of them also what the other retained pairs add to contexts."""
 
@@ -180,7 +195,7 @@ def _pair_runs(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
         rows = []
         for a, b in zip(head.tolist(), [*head[1:].tolist(), len(bucket)]):
-            rows.append((int(bucket[a]), number, packed(pa.table({"v": np.diff(v[a:b], prepend=0), "w": w[a:b], "n": n[a:b]})), None))
+            rows.append((int(bucket[a]), number, packed(pa.table(byte_columns("v", np.diff(v[a:b], prepend=0)) | byte_columns("w", w[a:b]) | byte_columns("n", n[a:b]))), None))
         rows.append((number % buckets, number, None, packed(pa.table(contexts))))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "_block", "payload", "contexts"])
 
@@ -189,9 +204,9 @@ def _pair_runs(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 def _bucket_counts(runs: list[pa.Table]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """v and corpus-wide count of each distinct pair of the runs, and the place of every pair of every run among these."""
-    v = np.concatenate([np.cumsum(t["v"].to_numpy()) for t in runs])
-    w = np.concatenate([t["w"].to_numpy() for t in runs])
-    n = np.concatenate([t["n"].to_numpy() for t in runs])
+    v = np.concatenate([np.cumsum(from_bytes(t, "v")) for t in runs])
+    w = np.concatenate([from_bytes(t, "w") for t in runs])
+    n = np.concatenate([from_bytes(t, "n") for t in runs])
     small = not len(v) or max(v.max(), w.max()) < 1 << 31
     order = np.argsort(v << 32 | w) if small else np.lexsort((w, v))
     v, w = v[order], w[order]
@@ -213,7 +228,7 @@ def _answers(rows: pa.Table) -> pa.Table:
     _, c, at = _bucket_counts(runs)
     c = np.where(c >= LEAST, c, 0)[at]
     cuts = np.cumsum([0, *(t.num_rows for t in runs)]).tolist()
-    out = [packed(pa.table({"c": c[a:b]})) for a, b in zip(cuts, cuts[1:])]
+    out = [packed(pa.table(byte_columns("c", c[a:b]))) for a, b in zip(cuts, cuts[1:])]
     return pa.table({"_block": rows["_block"], "bucket": rows["bucket"], "payload": pa.array(out, pa.binary())})
 
 
@@ -285,7 +300,7 @@ def _score(columns: list[str], buckets: int, discount: float) -> Callable[[pa.Ta
         del row, known
         place = own.runs(buckets)[0]
         if len(place):
-            own.n[place] = unpacked(answers["payload"])["c"].to_numpy()
+            own.n[place] = np.concatenate([from_bytes(unpacked(answers["payload"].slice(i, 1)), "c") for i in range(answers.num_rows)])
         kept = own.n >= LEAST
         v, w, n = own.v[kept], own.w[kept], own.n[kept].astype(np.int64)
         many = np.bincount(v, minlength=len(own.words))
@@ -313,7 +328,7 @@ def _score(columns: list[str], buckets: int, discount: float) -> Callable[[pa.Ta
     return run
 
 
-def score(docs: DataFrame, train: Column, discount: float = 0.75, block_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, train: Column, discount: float = 0.75, block_bytes: int = 16 << 20) -> DataFrame:
     """All rows and columns but `text`, with n_tokens, n_known, train_tokens, base_score and score; rows where `train` is true are learned from.
 
     Tokens are lower-cased words (A-Z, ASCII white space) and an end; a null or empty text is the
@@ -327,7 +342,7 @@ def score(docs: DataFrame, train: Column, discount: float = 0.75, block_bytes: i
     marked = docs.withColumns({"text": F.col("text").cast("string"), "_train": F.coalesce(train, F.lit(False))})
     states = materialise_bucketed(marked.mapInArrow(_states([*rest.columns, "_train"], block_bytes), STATE), "blocks", "_block")
     blocks = max(1, states.count())
-    by_block, buckets = states.groupBy("_block"), 2 * blocks
+    by_block, buckets = states.groupBy("_block"), blocks
     counts = states.select("_block", "words").mapInArrow(_word_counts, "_block long, word long, n long").filter("word IS NOT NULL")
     same = Window.partitionBy("word")  # a row per block at most
     words = counts.withColumns({"c": F.sum("n").over(same), "_blocks": F.count(F.lit(1)).over(same), "_first": F.min("_block").over(same) == F.col("_block")}).filter("c > 0")
