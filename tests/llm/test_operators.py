@@ -565,11 +565,37 @@ def test_packing_odd(spark, empty):
 
 
 def brute_ring(keys, shards, virtual):
-    """Row counts by shard when arcs fill in clockwise order, then overflow walks on."""
+    """Shard of each key (place on the ring, order in its arc): one by one to the arc's shard while that has room, then those left over to the next with room."""
     nodes = sharding.ring(shards, virtual)
-    ends = np.array([p for p, _ in nodes])
-    arcs = Counter(int(np.searchsorted(ends, k)) % len(nodes) for k in keys)
-    return arcs
+    room = [len(keys) // shards + (s < len(keys) % shards) for s in range(shards)]
+    arcs = defaultdict(list)
+    for i, (at, order) in enumerate(keys):
+        arcs[next((n for n, (end, _) in enumerate(nodes) if at <= end), 0)].append((order, i))
+    of, left = {}, []
+    for n, (_, shard) in enumerate(nodes):
+        for _, i in sorted(arcs[n]):
+            if room[shard]:
+                room[shard] -= 1
+                of[i] = shard
+            else:
+                left.append((n, i))
+    for n, i in left:
+        while not room[nodes[n][1]]:
+            n = (n + 1) % len(nodes)
+        room[nodes[n][1]] -= 1
+        of[i] = nodes[n][1]
+    return of
+
+
+@pytest.mark.parametrize(("shards", "virtual"), [(7, 16), (24, 4), (3, 1)])
+def test_every_key_gets_the_shard_of_brute_force(docs, shards, virtual):
+    text = F.coalesce("text", F.lit(""))
+    size, crc, key = F.octet_length(text) + 8, F.crc32(text.cast("binary")), F.pmod(F.xxhash64(F.lit("key"), F.col("doc_id")), F.lit(sharding.SPAN))
+    salt = F.pmod(F.xxhash64(key, size.cast("long"), crc), F.lit(32))
+    rows = docs.select("doc_id", size.alias("size"), crc.alias("crc"), key.alias("key"), salt.alias("salt")).collect()
+    want = brute_ring([(r.key, (r.salt, r.key, r.doc_id, r.size, r.crc)) for r in rows], shards, virtual)
+    got = Counter((r.doc_id, r.size, r.text_crc32, r.shard) for r in sharding.assign(docs, shards, virtual).collect())
+    assert got == Counter((r.doc_id, r.size, r.crc, want[i]) for i, r in enumerate(rows))
 
 
 def test_shards_are_even(docs, rows):

@@ -95,3 +95,76 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = QUERIES["op4_byte_cnn"](spark, sf).join(labels, "doc_id").filter("held_out").collect()
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.9
+
+
+def edited(words, changes, r):
+    out = list(words)
+    for i in r.sample(range(len(out)), changes):
+        out[i] = f"new{r.randrange(10**6)}"
+    return out
+
+
+def test_recall_of_planted_near_copies(spark):
+    """Pairs of similarity 0.80 to 0.95: at least nine in ten lose one; pairs below 0.8 lose none."""
+    import random
+
+    from haggleframe.llm import simhash
+
+    r = random.Random(11)
+    pairs = []
+    for n in (30, 120, 600):
+        for _ in range(60):
+            a = [f"w{r.randrange(5000)}" for _ in range(n)]
+            pairs.append((a, edited(a, r.randint(1, max(1, n // 40)), r)))
+    rows = [(2 * i + j, " ".join(t)) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    sets = [[shingles(" ".join(t)) for t in p] for p in pairs]
+    alike = [len(x & y) / len(x | y) for x, y in sets]
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {2 * i for i in range(len(pairs))} <= kept
+    band = [i for i, j in enumerate(alike) if j >= 0.8]
+    gone = sum(2 * i + 1 not in kept for i in band)
+    assert len(band) > 100 and gone / len(band) >= 0.9, (gone, len(band))
+    assert all(2 * i + 1 in kept for i, j in enumerate(alike) if j < 0.8)
+
+
+def test_chains_of_near_copies(spark):
+    """Each text is an edited copy of the one before: what connects them goes with them."""
+    import random
+
+    from haggleframe.llm import simhash
+
+    r = random.Random(12)
+    rows, linked = [], 0
+    for c in range(20):
+        t = [f"w{r.randrange(5000)}" for _ in range(150)]
+        for k in range(8):
+            rows.append((10 * c + k, " ".join(t)))
+            t = edited(t, 2, r)
+        linked += 7
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {10 * c for c in range(20)} <= kept and (len(rows) - len(kept)) / linked >= 0.9
+
+
+def test_sequences_are_near_their_least_number(spark):
+    out = QUERIES["op9_best_two_fit"](spark, SF)
+    r = out.selectExpr("count(DISTINCT sequence_id) AS n", "sum(length) AS tokens").first()
+    assert -(-r.tokens // 2048) <= r.n <= -(-r.tokens // 2048) * 1.01 + 1
+
+
+def test_fingerprints_tell_edits_from_strangers(spark):
+    r = QUERIES["op8_imatch"](spark, "/root/testdata/sf0.01").selectExpr("avg(near_edited) AS e", "avg(near_next) AS n", "avg(int(near_edited > near_next)) AS more").first()
+    assert r.e > 0.25 and r.n < 0.02 and r.more > 0.9
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null ids, null and empty texts, repeated rows; one row; none."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = " ".join(f"w{i}" for i in range(60))
+    odd = [(None, text, None, None, None), (None, text, None, None, None), (None, None, None, None, None), (1, "", None, None, None), (2, text, "en", "s", 5), (2, text, "en", "s", 5), (3, text + " more", None, None, None)]
+    for name, rows in (("odd", odd), ("one", odd[4:5]), ("none", [])):
+        at = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(1, 0, 0), (2, 1, 0)][: len(rows)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        out = corpus_pipeline.run(spark, at).collect()
+        assert all(0 < r.length <= 2048 and r.offset + r.length <= 2048 for r in out)
+        assert len(out) <= len(rows)
