@@ -29,10 +29,14 @@ def clean_candidate(raw: Column) -> Column:
 
 def is_plausible_title(x: Column) -> Column:
     """2 to 180 characters, no price, not numbers alone, and none of the interface's own words; null is not."""
-    low = F.lower(x)
-    noisy = F.exists(F.array(*map(F.lit, NOISE)), lambda n: low.contains(n))
-    numbers = low.rlike(r"^[\d\s.,:+-]+$") | low.rlike(r"^\d+\s*(?:euro|eur)(?:\s+e\s+\d+)?$")
-    return F.coalesce(F.length(x).between(2, 180) & ~low.contains("€") & ~numbers & ~noisy, F.lit(False))
+
+    def fine(low: Column) -> Column:
+        noisy = F.exists(F.array(*map(F.lit, NOISE)), lambda n: low.contains(n))
+        numbers = low.rlike(r"^[\d\s.,:+-]+$") | low.rlike(r"^\d+\s*(?:euro|eur)(?:\s+e\s+\d+)?$")
+        return F.length(low).between(2, 180) & ~low.contains("€") & ~numbers & ~noisy
+
+    # bound, so that whatever x is is worked out once
+    return F.coalesce(F.exists(F.array(F.lower(x)), fine), F.lit(False))
 
 
 def with_title(rows: DataFrame, column: str, into: str) -> DataFrame:
@@ -42,12 +46,12 @@ def with_title(rows: DataFrame, column: str, into: str) -> DataFrame:
     first of equals.
     """
     x = F.coalesce(F.col(column), F.lit(""))
-    first = F.regexp_instr(x, F.lit(ENDS))
-    parts = rows.withColumns({"_prefix": F.when(first > 1, clean_candidate(F.substring(x, F.lit(1), first - 1))), "_parts": F.transform(F.split(x, DIVIDES), clean_candidate)})
+    once = lambda v, f: F.transform(F.array(v), f)[0]  # noqa: E731  binds v, so that it is worked out once wherever a later filter puts it
+    prefix = once(x, lambda t: once(F.regexp_instr(t, F.lit(ENDS)), lambda first: F.when(first > 1, clean_candidate(F.substring(t, F.lit(1), first - 1)))))
+    lead = once(prefix, lambda p: F.when(is_plausible_title(p), p))
     points = lambda t, i: 100 - i + F.least(F.lit(18), F.size(F.split(t, r"\s+")) * 3) + F.when(F.lower(t).contains("gioco") | F.lower(t).contains("game"), 4).otherwise(0)
-    scored = F.filter(F.transform("_parts", lambda t, i: F.when(is_plausible_title(t), F.struct(points(t, i).alias("points"), (-i).alias("early"), t.alias("title")))), lambda s: s.isNotNull())
-    best = parts.withColumn("_best", F.array_max(scored))
-    return best.withColumn(into, F.when(is_plausible_title(F.col("_prefix")), F.col("_prefix")).otherwise(F.coalesce("_best.title", F.lit("")))).drop("_prefix", "_parts", "_best")
+    scored = F.filter(F.transform(F.transform(F.split(x, DIVIDES), clean_candidate), lambda t, i: F.when(is_plausible_title(t), F.struct(points(t, i).alias("points"), (-i).alias("early"), t.alias("title")))), lambda s: s.isNotNull())
+    return rows.withColumn(into, F.coalesce(lead, F.array_max(scored)["title"], F.lit("")))
 
 
 def fragments(html: Column) -> Column:

@@ -148,12 +148,13 @@ CARD = {"brand": r"(?i)(?:^|[,;|])\s*brand\s*:\s*([^,;|]+)", "condition": r"(?i)
 def parse_cards(cards: DataFrame, column: str = "card") -> DataFrame:
     """Add title, brand, condition, seller, price_cents, protected_cents and favourites of a card's text; cards without price or title are dropped."""
     x = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(column, r"[\r\n]", ","), r"\s+", " "), r",\s*,+", ","))
-    prices = F.transform(F.regexp_extract_all(x, F.lit(r"(\d+(?:[.,]\d{1,2})?)\s*€"), 1), lambda p: F.floor(F.regexp_replace(p, ",", ".").cast("double") * 100 + 0.5).cast("long"))
+    read = cards.withColumn("_x", x)
+    prices = F.transform(F.regexp_extract_all("_x", F.lit(r"(\d+(?:[.,]\d{1,2})?)\s*€"), 1), lambda p: F.floor(F.regexp_replace(p, ",", ".").cast("double") * 100 + 0.5).cast("long"))
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    out = with_title(cards.withColumns({"_x": x}), "_x", "title").withColumns(
-        {"title": blank(F.col("title")), **{k: blank(F.regexp_extract(x, p, 1)) for k, p in CARD.items()}, "price_cents": F.try_element_at(prices, F.lit(1)), "protected_cents": F.try_element_at(prices, F.lit(2)), "favourites": blank(F.regexp_extract(x, r"(?i)preferiti da\s+(\d+)\s+utent", 1)).try_cast("int")}
+    out = with_title(read.withColumn("_prices", prices), "_x", "title").withColumns(
+        {"title": blank(F.col("title")), **{k: blank(F.regexp_extract("_x", p, 1)) for k, p in CARD.items()}, "price_cents": F.try_element_at("_prices", F.lit(1)), "protected_cents": F.try_element_at("_prices", F.lit(2)), "favourites": blank(F.regexp_extract("_x", r"(?i)preferiti da\s+(\d+)\s+utent", 1)).try_cast("int")}
     )
-    return out.filter("price_cents IS NOT NULL AND title IS NOT NULL").drop("_x")
+    return out.filter("price_cents IS NOT NULL AND title IS NOT NULL").drop("_x", "_prices")
 
 
 def item_links(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
