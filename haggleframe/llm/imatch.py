@@ -8,6 +8,8 @@ long documents alike have parts that an edit leaves alone.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,10 +99,16 @@ def in_order(docs: DataFrame, buckets: int) -> DataFrame:
     bounds = sorted(set(bounds or []))  # actual doc_ids, fewer than `buckets`
     nulls, least = rows.agg(F.max(F.col("doc_id").isNull()), F.min("doc_id")).first()
     first_id = None if nulls else least
-    limits = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    bucket = F.size(F.filter(limits, lambda b: b <= F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))))
+    # a doc_id is looked up among the first bounds of chunks, then in its chunk, both as long as the root of their number
+    width = max(1, math.isqrt(len(bounds)))
+    chunks = [bounds[i : i + width] for i in range(0, len(bounds), width)] or [[]]
+    longs = lambda x: F.array(*[F.lit(b) for b in x]).cast("array<long>")
+    at = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    rows = rows.withColumn("_chunk", F.size(F.filter(longs([c[0] for c in chunks[1:]]), lambda b: b <= at)))
+    own = F.array(*map(longs, chunks))[F.col("_chunk")]
+    bucket = F.col("_chunk") * width + F.size(F.filter(own, lambda b: b <= at))
     here = F.struct(bucket.alias("b"), F.lit(False).alias("g"), F.lit(0).alias("l"))
-    before = F.when(F.array_contains(limits, F.col("doc_id")), F.array(F.struct((bucket - 1).alias("b"), F.lit(True).alias("g"), F.lit(0).alias("l"))))
+    before = F.when(F.array_contains(own, F.col("doc_id")), F.array(F.struct((bucket - 1).alias("b"), F.lit(True).alias("g"), F.lit(0).alias("l"))))
     wrap = F.when(F.col("doc_id").eqNullSafe(F.lit(first_id).cast("long")), F.array(F.struct(F.lit(len(bounds)).alias("b"), F.lit(True).alias("g"), F.lit(1).alias("l"))))
     none = F.array().cast("array<struct<b:int,g:boolean,l:int>>")
     places = F.concat(F.array(here), F.coalesce(before, none), F.coalesce(wrap, none))
@@ -119,7 +127,7 @@ def fingerprint_edits(docs: DataFrame, low: float = 0.001, high: float = 0.05, b
     Texts are shuffled once, by bucket; the windows and groupings that follow keep that partitioning.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # several for each task, so that tasks are alike
     words = materialise(lexicon(docs, low, high), "lexicon")
     order = Window.partitionBy("_bucket").orderBy("_last", F.asc_nulls_first("doc_id"), "text", "_ghost")
     n = F.char_length("text")
@@ -128,17 +136,17 @@ def fingerprint_edits(docs: DataFrame, low: float = 0.001, high: float = 0.05, b
     edited = nexts.select("doc_id", "_bucket", "_ghost", "_row", n.cast("long").alias("n_chars"), "text", F.concat(F.substring(F.col("text"), F.lit(1), n - gone), F.substring(F.col("_next"), F.lit(1), gone)).alias("_edited"))
     both = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("_edited").alias("t")))
     texts = edited.select("_bucket", "_row", "doc_id", "_ghost", "n_chars", F.unhex(F.sha2("_edited", 256)).alias("_sha"), F.explode(both).alias("v"))
-    owned = texts.select("_bucket", "_row", F.col("v.which").alias("_which"), F.col("v.t").alias("_t"), "doc_id", "_ghost", "n_chars", "_sha", own_parts(F.col("v.t")).alias("_spare"))
-    own = ["doc_id", "_ghost", "n_chars", "_sha", "_spare"]
-    # the empty string stands for the document itself: every document has it
-    long = owned.select("_bucket", "_row", "_which", *own, F.explode(F.concat(F.array(F.lit("")), terms(F.col("_t")))).alias("term")).withColumn("_spare", F.when(F.col("term") == "", F.col("_spare")))
+    own = ["doc_id", "_ghost", "n_chars", "_sha", "_text"]
+    # the empty string stands for the document itself: every document has it, and it alone carries the text along, which only documents without lexicon terms need
+    each = texts.select("_bucket", "_row", F.col("v.which").alias("_which"), F.col("v.t").alias("_text"), "doc_id", "_ghost", "n_chars", "_sha")
+    long = each.select("_bucket", "_row", "_which", *own, F.explode(F.concat(F.array(F.lit("")), terms(F.col("_text")))).alias("term")).withColumn("_text", F.when(F.col("term") == "", F.col("_text")))
     table = words.unionByName(spark.range(1).select(F.lit("").alias("term"), F.lit(-1).alias("subset")))
     found = long.join(F.broadcast(table) if _small(words) else table, "term")
-    parts = found.groupBy("_bucket", "_row", "_which", "subset").agg(*[F.first(c, ignorenulls=c == "_spare").alias(c) for c in own], F.sort_array(F.collect_list("term")).alias("_terms"))
+    parts = found.groupBy("_bucket", "_row", "_which", "subset").agg(*[F.first(c, ignorenulls=c == "_text").alias(c) for c in own], F.sort_array(F.collect_list("term")).alias("_terms"))
     part = F.when(F.col("subset") >= 0, F.concat(F.lpad(F.col("subset").cast("string"), 2, "0"), F.substring(F.md5(F.array_join("_terms", " ")), 1, DIGITS)))
-    prints = parts.groupBy("_bucket", "_row", "_which").agg(*[F.first(c, ignorenulls=c == "_spare").alias(c) for c in own], F.array_join(F.sort_array(F.collect_list(part)), " ").alias("_print"))
-    prints = prints.withColumn("_print", F.when(F.col("_print") == "", F.col("_spare")).otherwise(F.col("_print")))
-    rows = prints.groupBy("_bucket", "_row").agg(*[F.first(c).alias(c) for c in own], *[F.max(F.when(F.col("_which") == i, F.col("_print"))).alias(c) for i, c in enumerate(("fingerprint", "edited_fingerprint"))])
+    prints = parts.groupBy("_bucket", "_row", "_which").agg(*[F.first(c, ignorenulls=c == "_text").alias(c) for c in own], F.array_join(F.sort_array(F.collect_list(part)), " ").alias("_print"))
+    prints = prints.withColumn("_print", F.when(F.col("_print") == "", own_parts(F.col("_text"))).otherwise(F.col("_print")))
+    rows = prints.groupBy("_bucket", "_row").agg(*[F.first(c).alias(c) for c in own if c != "_text"], *[F.max(F.when(F.col("_which") == i, F.col("_print"))).alias(c) for i, c in enumerate(("fingerprint", "edited_fingerprint"))])
     following = F.lead("fingerprint").over(Window.partitionBy("_bucket").orderBy("_row"))
     out = rows.select("doc_id", "_ghost", "n_chars", "_sha", "fingerprint", "edited_fingerprint", F.coalesce(following, F.lit("")).alias("_following")).filter(~F.col("_ghost"))
     return out.select("doc_id", "n_chars", F.lower(F.hex("_sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_following")).alias("near_next"))
