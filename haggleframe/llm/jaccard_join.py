@@ -49,7 +49,7 @@ def block_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarr
     ends = np.cumsum(counts)
     grams, owner = rolling(words, size)[starts], np.searchsorted(ends, starts, "right")
     few = np.flatnonzero((counts > 0) & (counts < size)).tolist()
-    whole = [rolling(words[ends[i] - counts[i] : ends[i]], int(counts[i])) ^ SHORT * np.uint64(counts[i]) for i in few]
+    whole = [rolling(words[ends[i] - counts[i] : ends[i]], int(counts[i])) ^ np.uint64(int(SHORT) * int(counts[i]) % (1 << 64)) for i in few]
     grams, owner = np.concatenate([grams, *whole]), np.append(owner, few).astype(np.int64)
     order = np.lexsort((grams, owner))
     grams, owner = grams[order], owner[order]
