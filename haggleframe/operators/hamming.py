@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +25,8 @@ def nearest(queries: DataFrame, rows: DataFrame) -> DataFrame:
     each = queries.select("q", F.explode("hashes").alias("h"))
     waiting, best, found = written(each, "hamming-queries"), None, []
     for flips in range(WIDTH + 1):
-        masks = F.array(*[F.lit(sum(1 << i for i in bits)).cast("long") for bits in combinations(range(WIDTH), flips)])
+        # a constant: Spark works it out once
+        masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(low).cast("long")), lambda m: F.bit_count(m) == flips)
         keys = F.flatten(F.transform(F.array(*[segment(F.col("h"), s) for s in range(SEGMENTS)]), lambda k: F.transform(masks, lambda m: k.bitwiseXOR(m))))
         met = waiting.select("q", "h", F.explode(keys).alias("key")).join(index, "key").filter(F.col("id") != F.col("q"))
         step = met.groupBy("q").agg(F.min(F.struct(F.bit_count(F.col("h").bitwiseXOR(F.col("hash"))).alias("distance"), "id")).alias("b"))
