@@ -339,7 +339,7 @@ class Numbers(dict):
 class Encoder:
     """Encodes texts and remembers the ids of pre-tokens, at most about `remembered` of them."""
 
-    def __init__(self, vocabulary: Vocabulary, remembered: int = 1 << 17) -> None:
+    def __init__(self, vocabulary: Vocabulary, remembered: int = 1 << 19) -> None:
         self.vocabulary, self.remembered = vocabulary, remembered
         self.forget()
 
