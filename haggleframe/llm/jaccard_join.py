@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haggleframe.llm.common import give_back, in_blocks, join_groups, materialise, unpacked
+from haggleframe.llm.common import free_name, give_back, in_blocks, join_groups, materialise, unpacked
 from haggleframe.llm.components import components
 from haggleframe.llm.prefix_tree import spanning_links
 from haggleframe.llm.substring_dedup import rolling, whole_windows
@@ -154,7 +154,8 @@ def _ordered(schema: pa.Schema, size: int, percent: int) -> Callable[[pa.Table,
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(held))
         number = block["_block"][0].as_py()
         out = {"doc_id": own["doc_id"], "n_shingles": counts, "sum1": one.view(np.int64), "sum2": two.view(np.int64), "id": (number << 32) | first.astype(np.int64), "active": active & (sizes > 0)}
-        done = pa.table(out | {"probing": np.minimum(probing, sizes).astype(np.int32), "tokens": pc.if_else(pa.array(active & (sizes > 0)), lists, pa.scalar(None, lists.type))})
+        key = {"key": own["key"]} if "key" in own.column_names else {}
+        done = pa.table(out | {"probing": np.minimum(probing, sizes).astype(np.int32), "tokens": pc.if_else(pa.array(active & (sizes > 0)), lists, pa.scalar(None, lists.type))} | key)
         give_back()
         return done
 
@@ -164,15 +165,21 @@ def _ordered(schema: pa.Schema, size: int, percent: int) -> Callable[[pa.Table,
 SETS = "doc_id long, n_shingles long, sum1 long, sum2 long, id long, active boolean, probing int, tokens array<long>"
 
 
-def document_sets(docs: DataFrame, size: int, percent: int, block_bytes: int) -> DataFrame:
-    """Columns of SETS for every row: `id` is that of the first equal set of its block, and only that one is `active` and has tokens."""
+def text_key(text: F.Column) -> F.Column:
+    """64 bits of the text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def document_sets(docs: DataFrame, size: int, percent: int, block_bytes: int, with_key: bool = False) -> DataFrame:
+    """Columns of SETS for every row: `id` is that of the first equal set of its block, and only that one is `active` and has tokens. `with_key` adds `key`, the text's hash."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = narrow.withColumn("key", text_key(F.col("text"))) if with_key else narrow
     dealt, blocks, schema = in_blocks(narrow, block_bytes)
     bits = (blocks - 1).bit_length()  # as many ranges as blocks, or up to twice as many
     by_block = dealt.groupBy("_block")
     runs = by_block.applyInArrow(_runs(schema, size, bits), "span long, _block int, low binary, often binary")
     classes = runs.groupBy("span").applyInArrow(_classes, "_block int, span long, classes binary")
-    return by_block.cogroup(classes.groupBy("_block")).applyInArrow(_ordered(schema, size, percent), SETS)
+    return by_block.cogroup(classes.groupBy("_block")).applyInArrow(_ordered(schema, size, percent), SETS + ", key long" * with_key)
 
 
 def _joined(percent: int) -> Callable[[tuple, pa.Table], pa.Table]:
@@ -221,6 +228,16 @@ def cluster_links(sets: DataFrame, percent: int, part_tokens: int, hubs: int) ->
     return links.unionByName(materialise(farther, "links"))
 
 
+def set_classes(rows: DataFrame, percent: int, part_tokens: int, hubs: int) -> DataFrame:
+    """Of each distinct set among `rows` (SETS): SET, how many rows have it (`n`), the least doc_id that links reach from it (`component_id`) and how many rows they reach (`reached`)."""
+    kinds = materialise(rows.groupBy(*SET).agg(F.min("id").alias("id"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "kinds")
+    sets = materialise(rows.filter("active").select("id", "n_shingles", "probing", "tokens").join(kinds.select("id"), "id", "left_semi"), "active-sets")
+    joined = components(cluster_links(sets, percent, part_tokens, hubs))
+    labelled = kinds.join(joined, kinds["id"] == joined["node"], "left").withColumn("root", F.coalesce("component", "id"))
+    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("reached"))
+    return labelled.join(least, "root").select(*SET, "n", "component_id", "reached")
+
+
 def cluster(docs: DataFrame, size: int = 5, percent: int = 80, block_bytes: int = 8 << 20, part_tokens: int = 1 << 20, hubs: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -230,12 +247,23 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 80, block_bytes: int
     component_id. Repeated rows are kept. Only doc_id and text are read; an empty table gives no rows.
     """
     rows = materialise(document_sets(docs, size, percent, block_bytes), "sets")
-    kinds = materialise(rows.filter("n_shingles > 0").groupBy(*SET).agg(F.min("id").alias("id"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "kinds")
-    sets = materialise(rows.filter("active").select("id", "n_shingles", "probing", "tokens").join(kinds.select("id"), "id", "left_semi"), "active-sets")
-    joined = components(cluster_links(sets, percent, part_tokens, hubs))
-    labelled = kinds.join(joined, kinds["id"] == joined["node"], "left").withColumn("root", F.coalesce("component", "id"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_kind = materialise(labelled.join(least, "root").select(*SET, "n", "component_id"), "of-kind")
+    of_kind = materialise(set_classes(rows.filter("n_shingles > 0"), percent, part_tokens, hubs).drop("reached"), "of-kind")
     columns = ["doc_id", "n_shingles", "component_id"]
     found = join_groups(rows.filter("n_shingles > 0").select("doc_id", *SET), of_kind, SET, "n").select(columns)
     return found.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, block_bytes: int = 8 << 20, part_tokens: int = 1 << 20, hubs: int = 8) -> DataFrame:
+    """One document of every group of near-duplicates, that with the least doc_id, with all its columns.
+
+    Groups are what the links of `cluster` connect: no pair that meets the threshold is left out, and none below it links. Texts without words are
+    copies of each other. Null doc_ids rank after all numbers; of rows that share the least doc_id, or of nulls alone, each stays.
+    Repeated rows are kept. An empty table gives no rows.
+    """
+    rows = materialise(document_sets(docs, size, percent, block_bytes, with_key=True), "sets")
+    groups = materialise(set_classes(rows, percent, part_tokens, hubs).filter("reached > 1").drop("reached"), "groups")
+    gone = join_groups(rows.select("doc_id", "key", *SET), groups, SET, "n").filter("component_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id", "key").distinct()
+    doc, key = free_name(docs, "doc"), free_name(docs, "key")
+    marked = docs.withColumn(key, text_key(F.col("text")))
+    same = marked["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (marked[key] == F.col(f"{key}_gone"))
+    return marked.join(gone.toDF(doc, f"{key}_gone"), same, "left_anti").select(*docs.columns)

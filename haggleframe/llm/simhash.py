@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haggleframe.llm.common import free_name, join_groups, materialise, text_batches
+from haggleframe.llm.common import join_groups, materialise, text_batches
 from haggleframe.llm.components import components
+from haggleframe.llm.jaccard_join import keep_one  # noqa: F401  near-duplicates by similarity, not by fingerprints
 
 #: Seeds of the shingles' hashes for each 64 bits of a fingerprint.
 SEEDS = (42, 43)
@@ -212,47 +213,3 @@ def cluster(docs: DataFrame, reach: int = 4, segments: int = 2, shingle: int = 4
     of_print = materialise(labelled.join(least, "root").select("fp", "n", "component_id"), "of-print")
     out = join_groups(rows, of_print, ["fp"], "n")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
-
-
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(key, shingles): distinct hashes of each text's shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_batches(batches, limit=4 << 20):
-            out = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, shingle)])).view(np.int64) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.list_(pa.int64()))], ["key", "shingles"])
-
-    return docs.select("key", "text").mapInArrow(run, "key long, shingles array<long>")
-
-
-def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, reach: int = 26, segments: int = 6) -> DataFrame:
-    """One document of every group of near-duplicates, that with the least doc_id, with all its columns.
-
-    Documents link if the Jaccard similarity of their sets of `shingle` words is `similarity` or more; groups are what
-    links connect. Candidates are fingerprints of 128 bits within `reach`, of which one of `segments` segments differs by two bits at
-    most; of a pair of similarity 0.8 the search finds nine in ten, of 0.9 almost all. Fingerprints that candidates connect are compared along
-    spanning links, the closest pair first, so no group is expanded into pairs. Texts with equal fingerprints are taken as
-    copies: one is compared for all of them. Texts without words are copies of each other. Null doc_ids
-    rank after all numbers; of rows that share the least doc_id, or of nulls alone, each stays. Repeated rows are kept. An empty table gives no rows.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
-    rows = materialise(fingerprints(keyed, shingle, 2).select("doc_id", "key", "fp", "fp2"), "fingerprints")
-    prints = materialise(rows.groupBy("fp", "fp2").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "prints")
-    found = links(prints.select("fp", "fp2"), reach, segments)
-    ends = [prints.select(F.col("fp").alias(x), F.col("fp2").alias(f"{x}2"), F.col("key").alias(f"key_{x}")) for x in "ab"]
-    pairs = materialise(found.join(ends[0], ["a", "a2"]).join(ends[1], ["b", "b2"]).select("key_a", "key_b"), "candidates")
-    wanted = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-    sets = materialise(_sets(keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"]), shingle), "sets")
-    both = pairs.join(sets.toDF("key_a", "x"), "key_a").join(sets.toDF("key_b", "y"), "key_b")
-    common = F.size(F.array_intersect("x", "y"))
-    alike = both.select("key_a", "key_b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")).filter(F.col("c") >= similarity * (F.col("n") - F.col("c")))
-    joined = components(alike.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
-    labelled = prints.join(joined, prints["key"] == joined["node"], "left").withColumn("root", F.coalesce("component", "key"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("keep"), F.sum("n").alias("size"))
-    groups = materialise(labelled.join(least, "root").filter("size > 1").select("fp", "fp2", "n", "keep"), "groups")
-    gone = join_groups(rows, groups, ["fp", "fp2"], "n").filter("keep IS NOT NULL AND NOT doc_id <=> keep").select("doc_id", "key").distinct()
-    doc, key = free_name(docs, "doc"), free_name(docs, "key")
-    marked = docs.withColumn(key, F.xxhash64(text))
-    same = marked["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (marked[key] == F.col(f"{key}_gone"))
-    return marked.join(gone.toDF(doc, f"{key}_gone"), same, "left_anti").select(*docs.columns)

@@ -168,3 +168,55 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         out = corpus_pipeline.run(spark, at).collect()
         assert all(0 < r.length <= 2048 and r.offset + r.length <= 2048 for r in out)
         assert len(out) <= len(rows)
+
+
+def least_of_groups(texts):
+    """The least document of each group of texts that links of a similarity of at least 0.8 connect."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    of = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            of[x].append(i)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for p in {(a, b) for v in of.values() for a in v for b in v if a < b}:
+        both = len(sets[p[0]] & sets[p[1]])
+        if 100 * both >= 80 * (len(sets[p[0]]) + len(sets[p[1]]) - both):
+            x, y = find(p[0]), find(p[1])
+            root[max(x, y)] = min(x, y)
+    return {find(i) for i in sets}
+
+
+def test_no_near_copy_is_left_out(spark):
+    """Pairs just above and below the threshold, chains, and texts that differ in all but a line that they repeat: exactly the least of each group stays."""
+    import random
+
+    r = random.Random(13)
+    texts = []
+    for n in (30, 120, 600, 2000):
+        for _ in range(60):
+            a = [f"w{r.randrange(5000)}" for _ in range(n)]
+            texts += [a, edited(a, max(1, round(n * r.uniform(0.020, 0.026))), r)]
+    for _ in range(20):
+        t = [f"w{r.randrange(5000)}" for _ in range(400)]
+        for _ in range(6):
+            texts.append(t)
+            t = edited(t, 8, r)
+    line = [f"l{i}" for i in range(7)] * 300
+    texts += [line + [f"own{k}x{i}" for i in range(60)] for k in range(3)]
+    r.shuffle(texts)
+    texts = {i: " ".join(t) for i, t in enumerate(texts)}
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept, want = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}, least_of_groups(texts)
+    assert kept == want, (len(texts), len(want), "stay wrongly", len(kept - want), "go wrongly", len(want - kept))
+
+
+def test_near_stage_on_the_tables_is_exact(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
+    assert kept == least_of_groups({r.doc_id: r.text for r in docs.collect()})
