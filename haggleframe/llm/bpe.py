@@ -30,6 +30,8 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Pre-tokens of more bytes merge one position at a time.
 LONG = 128
+#: So many pairs are looked up at once.
+LOOKUP = 1 << 17
 
 
 @functools.cache
@@ -176,6 +178,8 @@ class Vocabulary:
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it doesn't merge."""
+        if len(left) > LOOKUP:
+            return np.concatenate([self.pair_ranks(left[i : i + LOOKUP], right[i : i + LOOKUP]) for i in range(0, len(left), LOOKUP)])
         key = left.astype(np.int64) << 20 | right
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
@@ -265,23 +269,28 @@ class Vocabulary:
         after[last] = -1
         before[last[:-1] + 1] = -1
         before[0] = -1
-        rank = np.full(n, -1, np.int32)  # of the pair that begins at each position
-        inner = np.flatnonzero(after >= 0)
-        rank[inner] = self.pair_ranks(token[inner], token[inner + 1])
+        rank = np.append(self.pair_ranks(token[:-1], token[1:]), np.int32(-1))  # of the pair that begins at each position
+        rank[last] = -1
+        del last
 
+        # what waits from the beginning stays in one array, with the borders of each rank in it; lists have what comes later
+        waiting = np.flatnonzero(rank >= 0).astype(np.int32)
+        waiting = waiting[np.argsort(rank[waiting], kind="stable")]
+        sorted_ranks = rank[waiting]
+        begin = np.flatnonzero(np.append(True, sorted_ranks[1:] != sorted_ranks[:-1])[: len(waiting)])
+        first = dict(zip(sorted_ranks[begin].tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(waiting)])))
+        del sorted_ranks, begin
         buckets: dict[int, list] = {}
         queue = RankBitmap(self.n_ranks)
-        waiting = np.flatnonzero(rank >= 0)
-        waiting = waiting[np.argsort(rank[waiting], kind="stable")]
-        cuts = np.flatnonzero(np.diff(rank[waiting])) + 1
-        for group in np.split(waiting, cuts) if len(waiting) else ():
-            r = int(rank[group[0]])
-            buckets[r] = group.tolist()
+        for r in first:
             queue.add(r)
 
         while (r := queue.first()) >= 0:
             queue.discard(r)
-            at = np.array(buckets.pop(r), np.int32)
+            at = np.array(buckets.pop(r, ()), np.int32)
+            if r in first:
+                a, b = first.pop(r)
+                at = np.concatenate((waiting[a:b], at))
             at = at[rank[at] == r]  # the others are stale
             if not len(at):
                 continue

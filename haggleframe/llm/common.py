@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
@@ -37,6 +37,11 @@ def materialise_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(table)
 
 
+def empty_table(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows; unlike one of an empty list it starts no Python workers."""
+    return spark.range(0, numPartitions=1).select(F.from_json(F.lit(None).cast("string"), schema).alias("_")).select("_.*")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -148,6 +153,8 @@ def in_blocks(docs: DataFrame, target: int, buffered: int = 32 << 20) -> tuple[D
                 held, size = {}, 0
         if held:
             yield out()
+        held.clear()
+        give_back()
 
     # what uses it joins by block, and asks for blocks that aren't null; asking here too keeps all uses of the shuffle alike, so that it is written once
     return dealt.mapInArrow(run, "_block int, payload binary").filter("_block IS NOT NULL"), blocks, to_arrow_schema(docs.schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haggleframe.llm import bpe
-from haggleframe.llm.common import text_batches
+from haggleframe.llm.common import give_back, text_batches
 
 #: Text that is encoded together, and text that one numpy step sees.
 UNIT, STEP = 4 << 20, 1 << 20
@@ -32,6 +32,10 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.R
         groups = [[t or "" for t in s.column("text").to_pylist()] for s in steps]
         for step, (ids, counts) in zip(steps, encoder.encode(groups)):
             yield step, ids, counts
+        del unit, steps, groups, step, ids, counts
+        give_back()
+    del encoder
+    give_back()
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

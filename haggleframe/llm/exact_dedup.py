@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haggleframe.llm.common import SPACES, free_name, join_groups, materialise
+from haggleframe.llm.common import SPACES, empty_table, free_name, join_groups, materialise
 
 
 def text_sha256(text: F.Column) -> F.Column:
@@ -30,7 +30,7 @@ class DigestIndex:
         self.spark, self.table = spark, table
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not spark.catalog.tableExists(table):
-            self._write(spark.createDataFrame([], "digest binary, keep_id long, batch string"))
+            self._write(empty_table(spark, "digest binary, keep_id long, batch string"))
 
     def _write(self, rows: DataFrame) -> None:
         rows.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.table)

@@ -119,7 +119,10 @@ def pack(table: DataFrame, capacity: int = 2048, salts: int = 64) -> DataFrame:
             taken[x] += bins
             at += x
         first += bins
-    places = spark.createDataFrame(slots, "length long, _from long, _to long, _shift long, offset long")
+    names = ["length", "_from", "_to", "_shift", "offset"]
+    columns = [*zip(*slots)] or [()] * len(names)
+    # an Arrow table goes to Spark as it is; a list of rows would start further Python workers in the executors
+    places = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names))
     by_rank = ranked(table, ["length"], F.xxhash64("doc_id", "piece"), ["doc_id", "piece"], salts)
     found = by_rank.join(F.broadcast(places), (by_rank["length"] == places["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).drop(places["length"])
     return found.withColumn("sequence_id", F.col("_rank") + F.col("_shift")).drop("_rank", "_from", "_to", "_shift")

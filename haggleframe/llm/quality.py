@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from haggleframe.llm.common import text_batches
+from haggleframe.llm.common import give_back, text_batches
 
 
 @dataclass(frozen=True)
@@ -163,6 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Network
         found.sort()
         found = found[: 2 * shape.sample]
         net = fit([t.encode() for _, t, _ in found], np.array([x for _, _, x in found], np.float32), shape)
+        del found
+        give_back()
         yield pa.RecordBatch.from_pydict({"weights": [net.dump()]})
 
     weights = rows.repartition(1).mapInArrow(run, "weights binary").first()
@@ -182,5 +184,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         for b in text_batches(batches, limit=4 << 20):
             out = [own.probability(np.frombuffer((t or "").encode(), np.uint8)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "score"])
+            del b
+        give_back()
 
     return docs.mapInArrow(run, f"{', '.join(f'`{n}` {t}' for n, t in docs.dtypes)}, score double")

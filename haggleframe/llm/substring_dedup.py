@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from haggleframe.llm.common import in_blocks, unpacked
+from haggleframe.llm.common import give_back, in_blocks, unpacked
 
 #: Fixed odd factors of the polynomial hash, taken modulo 2^64 over 64-bit hashes of words.
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -91,7 +91,10 @@ def _anchor_counts(schema: pa.Schema, window: int, anchor: int) -> Callable[[pa.
         words, counts = block_words(unpacked(block["payload"], schema))
         runs, at = anchors(words, whole_windows(counts, window), window, anchor)
         key, n = np.unique(runs[np.unique(at)], return_counts=True)
-        return pa.table({"_block": pa.array(np.full(len(key), block["_block"][0].as_py(), np.int32)), "anchor": pa.array(key.view(np.int64)), "many": pa.array(n > 1)})
+        del words, runs, at
+        out = pa.table({"_block": pa.array(np.full(len(key), block["_block"][0].as_py(), np.int32)), "anchor": pa.array(key.view(np.int64)), "many": pa.array(n > 1)})
+        give_back()
+        return out
 
     return run
 
@@ -124,7 +127,10 @@ def _block_firsts(schema: pa.Schema, window: int, anchor: int) -> Callable[[pa.T
         ids = np.array([LAST if x is None else x for x in own["doc_id"].to_pylist()], np.int64)
         doc = ids[np.searchsorted(np.cumsum(counts), place, "right")]
         number = np.full(len(place), block["_block"][0].as_py(), np.int32)
-        return pa.table({"hash": pa.array(hashes[order].view(np.int64)), "first_doc": pa.array(doc), "at": pa.array(place.astype(np.int32)), "_block": pa.array(number)})
+        del own, words, starts, may
+        out = pa.table({"hash": pa.array(hashes[order].view(np.int64)), "first_doc": pa.array(doc), "at": pa.array(place.astype(np.int32)), "_block": pa.array(number)})
+        give_back()
+        return out
 
     return run
 
@@ -156,7 +162,10 @@ def _cut(schema: pa.Schema, window: int, columns: list[str]) -> Callable[[pa.Tab
             if removed[-1]:
                 texts[i] = joined.decode()
         out = {c: own[c] if c != "text" else pa.array(texts, pa.string()) for c in columns}
-        return pa.table(out | {"n_words": pa.array(counts), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+        del texts, kept
+        done = pa.table(out | {"n_words": pa.array(counts), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+        give_back()
+        return done
 
     return run
 
