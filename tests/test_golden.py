@@ -56,6 +56,14 @@ def test_quality_composite(spark):
     assert all(x.s == x.q for x in df.select("s", money.quality_composite(c("r"), c("g"), c("a"), c("v")).alias("q")).collect())
 
 
+def test_quality_composite_is_not_one_off_at_a_half(spark):
+    """The shares add up to 1 exactly: these games have half a point more than a whole number."""
+    rows = [(50, 5.6, 160063, 77), (30000, 5.0, 105713, 38), (30000, 6.0, 135713, 45)]
+    df = spark.createDataFrame(rows, "r long, g double, v long, s long")
+    c = F.col
+    assert all(x.s == x.q for x in df.select("s", money.quality_composite(c("r"), c("g"), c("g"), c("v")).alias("q")).collect())
+
+
 @pytest.mark.parametrize("n", range(1, 25))
 def test_order_statistics(spark, n):
     v = sorted((i * 37) % 101 for i in range(n))
