@@ -229,13 +229,13 @@ def cluster_links(sets: DataFrame, percent: int, part_tokens: int, hubs: int) ->
 
 
 def set_classes(rows: DataFrame, percent: int, part_tokens: int, hubs: int) -> DataFrame:
-    """Of each distinct set among `rows` (SETS): SET, how many rows have it (`n`), the least doc_id that links reach from it (`component_id`) and how many rows they reach (`reached`)."""
+    """Of each distinct set among `rows` (SETS): SET, how many rows have it (`n`), the least doc_id that links reach from it (`component_id`), how many rows they reach (`reached`), and an id of what they connect (`root`)."""
     kinds = materialise(rows.groupBy(*SET).agg(F.min("id").alias("id"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "kinds")
     sets = materialise(rows.filter("active").select("id", "n_shingles", "probing", "tokens").join(kinds.select("id"), "id", "left_semi"), "active-sets")
     joined = components(cluster_links(sets, percent, part_tokens, hubs))
     labelled = kinds.join(joined, kinds["id"] == joined["node"], "left").withColumn("root", F.coalesce("component", "id"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("reached"))
-    return labelled.join(least, "root").select(*SET, "n", "component_id", "reached")
+    return labelled.join(least, "root").select(*SET, "n", "component_id", "reached", "root")
 
 
 def cluster(docs: DataFrame, size: int = 5, percent: int = 80, block_bytes: int = 8 << 20, part_tokens: int = 1 << 20, hubs: int = 8) -> DataFrame:
@@ -247,7 +247,7 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 80, block_bytes: int
     component_id. Repeated rows are kept. Only doc_id and text are read; an empty table gives no rows.
     """
     rows = materialise(document_sets(docs, size, percent, block_bytes), "sets")
-    of_kind = materialise(set_classes(rows.filter("n_shingles > 0"), percent, part_tokens, hubs).drop("reached"), "of-kind")
+    of_kind = materialise(set_classes(rows.filter("n_shingles > 0"), percent, part_tokens, hubs).drop("reached", "root"), "of-kind")
     columns = ["doc_id", "n_shingles", "component_id"]
     found = join_groups(rows.filter("n_shingles > 0").select("doc_id", *SET), of_kind, SET, "n").select(columns)
     return found.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -257,13 +257,26 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, block_bytes: int
     """One document of every group of near-duplicates, that with the least doc_id, with all its columns.
 
     Groups are what the links of `cluster` connect: no pair that meets the threshold is left out, and none below it links. Texts without words are
-    copies of each other. Null doc_ids rank after all numbers; of rows that share the least doc_id, or of nulls alone, each stays.
-    Repeated rows are kept. An empty table gives no rows.
+    copies of each other. Exactly one row of each group stays, whatever its doc_ids: null doc_ids rank after all numbers, and of several texts under the least doc_id
+    the one with the least hash stays; of rows that repeat doc_id and text, which one (and so the other columns' values) is arbitrary. An empty table gives no rows.
     """
     rows = materialise(document_sets(docs, size, percent, block_bytes, with_key=True), "sets")
-    groups = materialise(set_classes(rows, percent, part_tokens, hubs).filter("reached > 1").drop("reached"), "groups")
-    gone = join_groups(rows.select("doc_id", "key", *SET), groups, SET, "n").filter("component_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id", "key").distinct()
+    groups = materialise(set_classes(rows, percent, part_tokens, hubs).filter("reached > 1").drop("reached", "component_id"), "groups")
+    # by group, so that neither a large group nor a row that is very often repeated is one task's
+    members = join_groups(rows.select("doc_id", "key", *SET), groups, SET, "n").groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
+    members = materialise(members, "members")
+    stay = materialise(members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "times")).alias("s")).select("s.doc_id", "s.key", "s.times"), "stay")
     doc, key = free_name(docs, "doc"), free_name(docs, "key")
+    gone = members.alias("m").join(stay.alias("s"), F.col("m.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("m.key") == F.col("s.key")), "left_anti")
     marked = docs.withColumn(key, text_key(F.col("text")))
-    same = marked["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (marked[key] == F.col(f"{key}_gone"))
-    return marked.join(gone.toDF(doc, f"{key}_gone"), same, "left_anti").select(*docs.columns)
+
+    def among(those: DataFrame, how: str) -> DataFrame:
+        own = those.select(F.col("doc_id").alias(doc), F.col("key").alias(f"{key}_of"))
+        return marked.join(own, marked["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (marked[key] == F.col(f"{key}_of")), how)
+
+    repeated = stay.filter("times > 1")
+    if repeated.isEmpty():
+        return among(gone, "left_anti").select(*docs.columns)
+    once = among(gone.select("doc_id", "key").unionByName(repeated.select("doc_id", "key")), "left_anti").select(*docs.columns)
+    one = among(repeated, "left_semi").groupBy(F.col("doc_id").cast("long").alias(doc), key).agg(F.first(F.struct(*docs.columns)).alias(f"{key}_row"))
+    return once.unionByName(one.select(f"{key}_row.*"))

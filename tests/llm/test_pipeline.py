@@ -220,3 +220,13 @@ def test_near_stage_on_the_tables_is_exact(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
     assert kept == least_of_groups({r.doc_id: r.text for r in docs.collect()})
+
+
+def test_near_copies_of_any_ids_go(spark):
+    """Near copies without ids, under one id, and repeated rows: one row of each group stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    rows = [(None, a), (None, a + " more"), (None, a + " other"), (None, b), (None, b + " more"), (4, c), (4, c + " more"), (4, c + " more"), (None, c), (7, "alone in the table it is"), (8, "repeated row that has no fellow"), (8, "repeated row that has no fellow"), (None, None), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "x", None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, (r.text or " ")[0]) for r in out.collect()) == [(0, " "), (0, "a"), (0, "b"), (4, "c"), (7, "a"), (8, "r")]
