@@ -28,6 +28,27 @@ def running(rows: DataFrame, keys: list[str], at: str, width: int, ties: list[Co
     return joined.withColumns(out).drop("_stretch", *[f"_{x}_{n}" for x in "wc" for n in before])
 
 
+def seen_in_spans(events: DataFrame, spans: DataFrame, who: str, at: str, span: str, start: str, length: int, width: int) -> DataFrame:
+    """(span, observations, signatures): how many events, and of how many different `who`, lie in [start, start + length] of each span; spans without any, and nulls among times, are left out.
+
+    Nothing is paired. An event counts for the spans that start in (lo, at], where lo is the time of its fellow before it, or at - length - 1 if that is later: so a `who` counts
+    once for a span, by its first event there. Both figures are differences of running sums over all events and spans.
+    """
+    e = events.select(F.col(who).alias("_who"), F.col(at).cast("long").alias("_at")).filter("_at IS NOT NULL")
+    own = Window.partitionBy("_who").orderBy("_at")
+    known = e.filter("_who IS NOT NULL").select(F.greatest(F.lag("_at").over(own), F.col("_at") - length - 1).alias("_at"))
+    s = spans.filter(F.col(start).isNotNull()).select(span, F.col(start).cast("long").alias("_at"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    row = lambda rows, when, ask, seen, open_: rows.select((rows[span] if span in rows.columns else F.lit(None).cast(dict(spans.dtypes)[span])).alias("_span"), when.alias("_at"), F.lit(ask).alias("_ask"), seen.alias("_seen"), open_.alias("_open"))
+    points = row(e, F.col("_at"), 2, one, F.when(F.col("_who").isNotNull(), -one).otherwise(zero)).unionByName(row(known, F.col("_at"), 2, zero, one))
+    asked = row(s, F.col("_at"), 0, zero, zero).unionByName(row(s, F.col("_at") + length + 1, 1, zero, zero))
+    # spans see what is before their time alone, so they come first of a time; the order among events doesn't matter
+    counted = running(points.unionByName(asked), [], "_at", width, [F.col("_ask")], {"_before": ("sum", F.col("_seen")), "_now": ("sum", F.col("_open"))}).filter("_ask < 2")
+    of = lambda ask, c: F.max(F.when(F.col("_ask") == ask, F.col(c)))
+    out = counted.groupBy(F.col("_span").alias(span)).agg((of(1, "_before") - of(0, "_before")).alias("observations"), of(0, "_now").alias("signatures"))
+    return out.filter("observations > 0")
+
+
 def idle(busy: DataFrame, keys: list[str], start: str, end: str, width: int) -> DataFrame:
     """(keys, idle_from, idle_to): the gaps between a key's intervals [start, end), whatever overlaps. Intervals that end before they start, or have nulls, don't count."""
     fine = busy.filter(F.col(end) >= F.col(start)).select(*keys, start, end)

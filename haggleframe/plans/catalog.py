@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from haggleframe.functions import classify, dates, money, ranking, text
 from haggleframe.functions.stats import count_where, integer_median
-from haggleframe.operators import intervals, sequences
+from haggleframe.operators import intervals, scans, sequences
 from haggleframe.plans.market import DEALS_SQL, deals
 from haggleframe.plans.registry import query
 from haggleframe.plans.texts import norm_sql
@@ -64,8 +64,8 @@ def price_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sightings_in_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was seen within two hours of the start of each run."""
     s = sightings(spark, sf_dir)
-    r = s.groupBy(F.col("signature").alias("run")).agg(F.min("at_ms").alias("start_ms")).withColumn("end_ms", F.col("start_ms") + 7200000)
-    return intervals.within(s, r, "at_ms", "start_ms", "end_ms", 3600000).groupBy("run").agg(F.count(F.lit(1)).alias("observations"), F.count_distinct("signature").alias("signatures"))
+    r = s.groupBy(F.col("signature").alias("run")).agg(F.min("at_ms").alias("start_ms"))
+    return scans.seen_in_spans(s, r, "signature", "at_ms", "run", "start_ms", 7200000, 3600000)
 
 
 @query(with_roles("listings", "jobs") + """ SELECT listing_id, CASE WHEN match_state = 'MATCHED' THEN 1 ELSE 0 END AS identified, CASE WHEN l.lifecycle = 'ACTIVE' AND j.state = 'COMPLETE' THEN 1 ELSE 0 END AS complete, CASE WHEN match_state = 'REVIEW' THEN 1 ELSE 0 END AS review,
