@@ -148,13 +148,14 @@ CARD = {"brand": r"(?i)(?:^|[,;|])\s*brand\s*:\s*([^,;|]+)", "condition": r"(?i)
 def parse_cards(cards: DataFrame, column: str = "card") -> DataFrame:
     """Add title, brand, condition, seller, price_cents, protected_cents and favourites of a card's text; cards without price or title are dropped."""
     x = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(column, r"[\r\n]", ","), r"\s+", " "), r",\s*,+", ","))
-    read = cards.withColumn("_x", x)
+    # exploded, so that no filter on what is read is moved below and reads the text once more for each condition
+    read = cards.select("*", F.explode(F.array(x)).alias("_x"))
     prices = F.transform(F.regexp_extract_all("_x", F.lit(r"(\d+(?:[.,]\d{1,2})?)\s*€"), 1), lambda p: F.floor(F.regexp_replace(p, ",", ".").cast("double") * 100 + 0.5).cast("long"))
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    out = with_title(read.withColumn("_prices", prices), "_x", "title").withColumns(
-        {"title": blank(F.col("title")), **{k: blank(F.regexp_extract("_x", p, 1)) for k, p in CARD.items()}, "price_cents": F.try_element_at("_prices", F.lit(1)), "protected_cents": F.try_element_at("_prices", F.lit(2)), "favourites": blank(F.regexp_extract("_x", r"(?i)preferiti da\s+(\d+)\s+utent", 1)).try_cast("int")}
-    )
-    return out.filter("price_cents IS NOT NULL AND title IS NOT NULL").drop("_x", "_prices")
+    titled = with_title(read.select("*", F.explode(F.array(prices)).alias("_prices")).filter("size(_prices) > 0"), "_x", "_title")
+    fields = {"title": blank(F.col("_title")), **{k: blank(F.regexp_extract("_x", p, 1)) for k, p in CARD.items()}, "price_cents": F.try_element_at("_prices", F.lit(1)), "protected_cents": F.try_element_at("_prices", F.lit(2)), "favourites": blank(F.regexp_extract("_x", r"(?i)preferiti da\s+(\d+)\s+utent", 1)).try_cast("int")}
+    out = titled.select(*cards.columns, F.explode(F.array(F.struct(*[c.alias(k) for k, c in fields.items()]))).alias("_r")).filter("_r.price_cents IS NOT NULL AND _r.title IS NOT NULL")
+    return out.select(*[c for c in cards.columns if c not in fields], *[F.col(f"_r.{k}").alias(k) for k in fields])
 
 
 def item_links(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:

@@ -112,3 +112,11 @@ def test_nearest_by_hamming(spark):
     want = {q: min((min(bits(h, x) for h in hs), i) for i, x in rows if i != q) for q, hs in asked if hs}
     assert {x.q: (x.distance, x.id) for x in got} == want
     assert hamming.nearest(spark.createDataFrame(asked[:1], "q long, hashes array<long>"), spark.createDataFrame(rows[:1], "id long, hash long")).count() == 0
+
+
+def test_a_card_is_read_once(spark):
+    """No condition on what is read from a card is moved below the reading and repeats it."""
+    from haggleframe.plans.screens import card_records
+
+    plan = card_records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("regexp_instr") == 1
