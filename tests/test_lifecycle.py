@@ -160,6 +160,16 @@ def test_revalidation(spark):
     assert {r.listing_id for r in revalidate.revalidate(marked, l, x, y).collect() if r.reason.endswith("!")} == {"near", "far", "null"} - {r.listing_id for r in l.join(revalidate.catalogue_changes(x, y)[0], "game_id").collect()}
 
 
+def test_revalidation_sends_no_catalogue_to_the_driver(spark):
+    """Nothing of a catalogue is broadcast, small as it looks, and an update is evaluated as a whole evaluation is."""
+    x = spark.createDataFrame([(i, f"Game {i % 7}", [f"Alias {i % 3}"]) for i in range(20)], "game_id long, name string, aliases array<string>")
+    y = x.filter("game_id <> 4").withColumn("name", F.when(F.col("game_id") == 5, "Game 5 second").otherwise(F.col("name")))
+    l = spark.createDataFrame([(f"l{i}", i % 23 if i % 11 else None, f"Vendo game {i % 9}" if i % 5 else None, "solo scatola" if i % 13 == 0 else None) for i in range(300)], "listing_id string, game_id long, title string, text string")
+    assert rows(revalidate.evaluate_update(l, x, y)) == rows(revalidate.evaluate(l, y)) == rows(revalidate.revalidate(revalidate.evaluate(l, x), l, x, y))
+    plan = revalidate.evaluate(l, y)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1  # of what is said, which is counted before
+
+
 # --- events in order ------------------------------------------------------------------------
 
 
